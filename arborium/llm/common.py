@@ -76,3 +76,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a URI or a plain path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+#: Lower-cases A-Z in UTF-8 bytes.
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def utf8(column) -> list[bytes | None]:
+    """The values of an Arrow string column as bytes."""
+    import pyarrow as pa
+
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality
+from . import media, mixing, packing, pii, quality, token_files, url_trust
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_documents(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir))
+
+
+def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -23,10 +35,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op1_media": op1_media,
     "op2_quality": op2_quality,
+    "op3_token_files": op3_token_files,
+    "op4_url_trust": op4_url_trust,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
