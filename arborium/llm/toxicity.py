@@ -33,10 +33,11 @@ from .common import fresh, utf8
 THRESHOLD = 0.3
 #: Bounds of learning, all documented parameters.
 MOST_LABELLED = 40_000
-MOST_TERMS = 200
-MIN_SHARE = 0.03
-MIN_COUNT = 3
-MIN_WEIGHT = 2.0
+MOST_TERMS = 400
+MIN_SHARE = 0.004
+MIN_COUNT = 4
+#: A term's log odds less 1.64 times their standard error must reach this.
+MIN_WEIGHT = 1.0
 #: Words by which two texts begin alike.
 BEGINNING = 60
 #: Words at which length halves the weight of a match, softly: weight / (1 + log(1 + words / LENGTH)).
@@ -180,7 +181,7 @@ def learn(labelled: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     weight = F.log(a / (toxic + 1)) - F.log(b / (other + 1))
     least = max(MIN_COUNT, math.ceil(MIN_SHARE * toxic))
-    terms = term_counts(rows).filter(F.col("toxic") >= least).withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MOST_TERMS)
+    terms = term_counts(rows).filter(F.col("toxic") >= least).withColumn("weight", weight).filter(F.col("weight") - 1.64 * F.sqrt(1 / a + 1 / b) >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MOST_TERMS)
     model = Model({r["term"]: float(r["weight"]) for r in terms.collect()})
     fitted = values_of(rows, model, "toxic").toPandas()
     rows.unpersist()
