@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, quality, token_files, url_trust
+from . import media, mixing, neardup, packing, pii, quality, token_files, toxicity, url_trust
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op4_url_trust": op4_url_trust,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
 
