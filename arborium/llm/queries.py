@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, neardup, packing, pii, quality, token_files, toxicity, url_trust
+from . import lattice_lm, media, mixing, neardup, packing, pii, quality, token_files, toxicity, url_trust
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(documents(spark, sf_dir))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
