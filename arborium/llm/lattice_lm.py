@@ -58,6 +58,12 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def log_sum(ways: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis."""
+    top = ways.max(0)
+    return top + np.log(np.exp(ways - top).sum(0))
+
+
 def code_points(words: list[str]) -> np.ndarray:
     """Matrix of the code points of words of one length."""
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
@@ -120,43 +126,39 @@ class Lattice:
         self.pieces, self.logs = Pieces(pieces), np.append(logs, -np.inf)
 
     def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log probabilities by end, arcs, their logs) of words of one length, marks included; arcs[i][k] starts at i and has k + 1 characters."""
-        points = code_points(words)
-        n, m = points.shape
+        """(log probabilities by end, arcs, their logs) of words of one length, marks included; arcs[k][i] starts at i and has k + 1 characters."""
+        points = code_points(words).T
+        m, n = points.shape
         width = min(LONGEST, m)
-        arcs, logs = np.full((m, width, n), -1, np.int32), np.full((m, width, n), -np.inf)
+        arcs, logs = np.full((width, m, n), -1, np.int32), np.full((width, m, n), -np.inf)
+        h = np.full((m, n), SPREAD)
+        for k in range(width):
+            h = spread(h[: m - k] * SPREAD + points[k:])
+            arcs[k, : m - k] = self.pieces.find(h.ravel()).reshape(h.shape)
+            logs[k, : m - k] = self.logs[arcs[k, : m - k]]
         size = 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
-        byte = math.log(BYTES_MASS / 256)
-        for i in range(m):
-            h = np.full(n, SPREAD)
-            for k in range(min(width, m - i)):
-                h = spread(h * SPREAD + points[:, i + k])
-                arcs[i, k] = self.pieces.find(h)
-                logs[i, k] = self.logs[arcs[i, k]]
-            logs[i, 0] = np.where(arcs[i, 0] < 0, size[:, i] * byte, logs[i, 0])
+        logs[0] = np.where(arcs[0] < 0, size * math.log(BYTES_MASS / 256), logs[0])
         alpha = np.full((m + 1, n), -np.inf)
         alpha[0] = 0
         for j in range(1, m + 1):
-            ways = np.stack([alpha[j - k - 1] + logs[j - k - 1, k] for k in range(min(width, j))])
-            top = ways.max(0)
-            alpha[j] = top + np.log(np.exp(ways - top).sum(0))
+            k = np.arange(min(width, j))
+            alpha[j] = log_sum(alpha[j - 1 - k] + logs[k, j - 1 - k])
         return alpha, arcs, logs
 
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces in words of one length that occur so often."""
         alpha, arcs, logs = self.forward(words)
-        m, width, n = arcs.shape
+        width, m, n = arcs.shape
         beta = np.full((m + 1, n), -np.inf)
         beta[m] = 0
         for i in range(m - 1, -1, -1):
-            ways = np.stack([beta[i + k + 1] + logs[i, k] for k in range(min(width, m - i))])
-            top = ways.max(0)
-            beta[i] = top + np.log(np.exp(ways - top).sum(0))
+            k = np.arange(min(width, m - i))
+            beta[i] = log_sum(beta[i + k + 1] + logs[k, i])
         out = np.zeros(self.pieces.count + 1)
-        for i in range(m):
-            for k in range(min(width, m - i)):
-                share = np.exp(alpha[i] + logs[i, k] + beta[i + k + 1] - alpha[m]) * counts
-                out += np.bincount(np.where(arcs[i, k] < 0, self.pieces.count, arcs[i, k]), share, self.pieces.count + 1)
+        for k in range(width):
+            share = np.exp(alpha[: m - k] + logs[k, : m - k] + beta[k + 1 :] - alpha[m]) * counts
+            at = np.where(arcs[k, : m - k] < 0, self.pieces.count, arcs[k, : m - k])
+            out += np.bincount(at.ravel(), share.ravel(), self.pieces.count + 1)
         return out[:-1]
 
     def chunks(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
