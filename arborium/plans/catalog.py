@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import coordinates as X
 from ..operators import collections as C
 from ..operators import editing as E
 from ..operators import geometry as G
@@ -197,6 +198,17 @@ def scale(v):
     return rounded(G.scale(v, "neuron_id").select(*T.KEY, "x"), "x", digits=3)
 
 
+@query("xyz_to_string", "SELECT neuron_id, point_no, printf('%.2f', x) || ',' || printf('%.2f', y) || ',' || printf('%.2f', z) AS xyz FROM v", "heap")
+def xyz_to_string(v):
+    return v.select(*T.KEY, X.xyz_text(F.col("x"), F.col("y"), F.col("z")).alias("xyz"))
+
+
+@query("xyz_from_string", "SELECT neuron_id, point_no, y, z FROM v", "heap")
+def xyz_from_string(v):
+    text = F.concat(F.lit("("), F.col("x"), F.lit(", "), F.col("y"), F.lit(" ; "), F.col("z"), F.lit(")"))
+    return v.select(*T.KEY, X.xyz_of(text).alias("p")).select(*T.KEY, "p.y", "p.z")
+
+
 MATRIX = np.array([[0.5, 0.1, 0.0, 10.0], [0.0, 2.0, 0.3, -5.0], [0.2, 0.0, 1.0, 1.0], [0.0, 0.0, 0.0, 1.0]])
 
 
