@@ -66,5 +66,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality": quality.ORACLE_SQL,
+    "op4_url_trust": url_trust.oracle_sql(),
     "op6_mixing": mixing.ORACLE_SQL,
 }

@@ -120,3 +120,31 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, margin: float = MARGI
     blocked = written(scores.filter(F.col("distrust") - F.col("trust") > margin).select("host", F.lit("block").alias("spread")), "blocked-hosts")
     out = judged.select("page_id", "host", "path", "judged").join(blocked, "host", "left")
     return out.select("page_id", "host", "path", F.col("judged.rule").alias("rule"), F.coalesce("judged.verdict", "spread", F.lit("allow")).alias("verdict"))
+
+
+def oracle_sql(rules: Sequence[Rule] = RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
+    """judge() in DuckDB SQL, its rounds written one after the other."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    host = lambda u: f"translate(regexp_extract(substr({u}, instr({u}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = [(f"(host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)})", r) for r in sorted(rules, key=lambda r: -len(r.text))]
+    case = lambda value: "CASE " + " ".join(f"WHEN {c} THEN {quoted(value(r))}" for c, r in fits) + " END"
+    steps = ", ".join(
+        f"s{k + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT m.dest AS host, {damping} * s.trust * m.t AS trust, {damping} * s.distrust * m.d AS distrust FROM s{k} s JOIN moves m ON m.host = s.host UNION ALL SELECT * FROM s0) GROUP BY host)"
+        for k in range(rounds)
+    )
+    link = r"""href\s*=\s*["'']?(https?://[^"''\s>]+)"""
+    return f"""
+WITH u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+h AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN {host("url")} ELSE '' END AS host,
+  CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+j AS (SELECT page_id, html, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS said FROM h),
+l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1, 'i'), lambda x: {host("x")}))) AS dst FROM j WHERE host <> ''),
+f AS (SELECT DISTINCT host AS src, substr(host, instr(host, '.') + 1) AS dst FROM j WHERE len(string_split(host, '.')) > 3),
+e AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, count(*)::DOUBLE AS w FROM l WHERE src <> dst AND dst <> '' GROUP BY ALL UNION ALL SELECT src, dst, {FAMILY} FROM f UNION ALL SELECT dst, src, {FAMILY} FROM f) GROUP BY ALL),
+n AS (SELECT *, sum(w) OVER (PARTITION BY src) AS wo, sum(w) OVER (PARTITION BY dst) AS wi FROM e),
+moves AS (SELECT host, dest, sum(t) AS t, sum(d) AS d FROM (SELECT src AS host, dst AS dest, w / wo AS t, 0.0::DOUBLE AS d FROM n UNION ALL SELECT dst, src, 0.0::DOUBLE, w / wi FROM n) GROUP BY ALL),
+s0 AS (SELECT host, (1 - {damping}::DOUBLE) * avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS trust, (1 - {damping}::DOUBLE) * avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS distrust FROM j WHERE host <> '' GROUP BY host),
+{steps},
+b AS (SELECT host FROM s{rounds} WHERE distrust / (1 - {damping}::DOUBLE) - trust / (1 - {damping}::DOUBLE) > {margin}::DOUBLE)
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN b.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN b ON b.host = j.host
+"""
