@@ -1,23 +1,45 @@
 """Texts to token ids with a tokenizer whose pre-tokenizer never joins across white space.
 
 Such a tokenizer gives a text the ids of its words, one after the other, so each distinct word is
-encoded by the library once a task and then looked up. Tests hold the ids against whole texts.
+encoded by the library once a task and then looked up; so is each distinct piece that the library's
+pre-tokenizer cuts words into. Tests hold the ids against whole texts.
 """
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 
 END_ID = 1
-#: Words kept in a worker's memory; beyond it the table starts anew. Longer words are encoded each time.
-CACHED_WORDS = 400_000
+#: Words, and pieces, kept in a worker's memory; beyond it a table starts anew. Longer words are encoded each time.
+CACHED_WORDS, CACHED_PIECES = 1_200_000, 700_000
 CACHED_BYTES = 64
 
+# Fixed value: how the tokenizer's pre-tokenizer cuts ASCII text, lower-cased.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
 
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Pieces(dict):
+    """pre-tokenized piece -> its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder(dict):
     """word (UTF-8 bytes) -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -28,7 +50,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.tokenizer.model)
         self.end = END_ID.to_bytes(4, "little")
+        self.plain = path == default_path()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -37,10 +61,20 @@ class Encoder(dict):
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        import numpy as np
+    def cut(self, word: bytes) -> list[str]:
+        """The pieces that the tokenizer cuts a word into."""
+        if self.plain and word.isascii() and word.isalpha():
+            return [word.decode().lower()]
+        if self.plain and word.isascii() and word.decode().isprintable():
+            return ASCII_PIECES.findall(word.decode().lower())
+        normal = self.tokenizer.normalizer.normalize_str(word.decode()) if self.tokenizer.normalizer else word.decode()
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        if b"<|" in word or len(word) > CACHED_BYTES:  # may hold a special token; long words take the library's own way
+            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.cut(word)))
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHED_WORDS:
                 self.clear()
