@@ -44,6 +44,18 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Look-up tables that a Python worker keeps between its tasks.
+KEPT: list[dict] = []
+
+
+def keep_only(*tables: dict) -> None:
+    """Called where a task starts: its tables stay for the worker's next tasks, those of other operators make room."""
+    for table in KEPT:
+        if all(table is not t for t in tables):
+            table.clear()
+    KEPT.extend(t for t in tables if all(t is not k for k in KEPT))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names based on names that df doesn't have yet."""
     have = {c.lower() for c in df.columns}

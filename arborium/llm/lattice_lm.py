@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, session, utf8, written
+from .common import LOWER_BYTES, keep_only, session, utf8, written
 
 #: Distinct tokens that a task counts before it hands its counts on.
 COUNTED = 400_000
@@ -184,6 +184,7 @@ MADE: dict[tuple, Lattice] = {}
 
 def lattice(pieces: list[str], logs: np.ndarray) -> Lattice:
     """A worker's lattice for a model: its piece tables are built once."""
+    keep_only(MADE)
     key = (len(pieces), hash(tuple(pieces[:64])))
     if key not in MADE:
         MADE.clear()
@@ -289,6 +290,7 @@ HEADS: dict[str, tuple] = {}
 
 def looked_up(name: str, sent) -> tuple[dict, np.ndarray, np.ndarray]:
     """A worker's dictionary of the head tokens sent under a name, kept between tasks: places, counts, lattice scores."""
+    keep_only(HEADS)
     if name not in HEADS:
         HEADS.clear()
         with pa.ipc.open_stream(sent.value) as stream:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fresh, remove, utf8, written
+from .common import LOWER_BYTES, fresh, keep_only, remove, utf8, written
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
@@ -74,6 +74,10 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def keep_words() -> None:
+    keep_only(HASHES)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_BYTES).split()
 
@@ -132,6 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, sequence, n_shingles, bands, sketch of each document; sequence null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words()
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             rows = []
@@ -201,6 +206,7 @@ def blocked(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame
     texts = docs.selectExpr("cast(doc_id as long) as node", "text").join(wanted, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words()
         for batch in batches:
             rows = []
             for k, (text, sequence) in enumerate(zip(utf8(batch.column("text")), batch.column("sequence").to_pylist(), strict=True)):

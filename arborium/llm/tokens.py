@@ -11,6 +11,8 @@ import re
 
 import public_tokenizers
 
+from .common import keep_only
+
 END_ID = 1
 #: Words, and pieces, kept in a worker's memory; beyond it a table starts anew. Longer words are encoded each time.
 CACHED_WORDS, CACHED_PIECES = 1_200_000, 700_000
@@ -59,6 +61,7 @@ class Encoder(dict):
         """The worker's encoder for a file: read once, kept between tasks."""
         if path not in cls.made:
             cls.made[path] = cls(path)
+        keep_only(cls.made[path], cls.made[path].pieces)
         return cls.made[path]
 
     def cut(self, word: bytes) -> list[str]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, utf8
+from .common import fresh, keep_only, utf8, written
 
 THRESHOLD = 0.3
 #: Bounds of learning, all documented parameters.
@@ -86,6 +86,10 @@ class Folder(dict):
 FOLDED = Folder()
 
 
+def keep_words() -> None:
+    keep_only(FOLDED)
+
+
 def folded_words(text: bytes | None) -> list[str]:
     return list(map(FOLDED.__getitem__, (text or b"").split()))
 
@@ -136,6 +140,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, toxic, other): texts of each class that hold a folded word; counted in the task before any shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words()
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
@@ -148,6 +153,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
 def values_of(docs: DataFrame, model: Model, label: str) -> DataFrame:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words()
         automaton = model.automaton()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([weigh(automaton, t) for t in utf8(batch.column("text"))], pa.float64()), batch.column(label)], names=["value", "label"])
@@ -168,15 +174,13 @@ def logistic_fit(value: np.ndarray, label: np.ndarray, penalty: float = 1.0) ->
     return float(beta[0]), float(beta[1])
 
 
-def learn(labelled: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """A model from rows (doc_id, text, toxic): training rows only."""
-    known = labelled.filter("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    distinct = known.withColumn("beginning", F.xxhash64(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+", BEGINNING + 1), 1, BEGINNING))).dropDuplicates(["beginning", "toxic"])
-    rows = distinct.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("text", "toxic").persist()
+def learn(labelled: DataFrame) -> Model:
+    """A model from the training rows that labelled_rows() gives."""
+    first = labelled.groupBy("beginning", "toxic").agg(F.min("row").alias("row")).select("row")
+    rows = labelled.join(F.broadcast(first), "row", "left_semi").select("text", "toxic")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = size.get(1, 0), size.get(0, 0)
     if not toxic or not other:
-        rows.unpersist()
         return Model()
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     weight = F.log(a / (toxic + 1)) - F.log(b / (other + 1))
@@ -184,7 +188,6 @@ def learn(labelled: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     terms = term_counts(rows).filter(F.col("toxic") >= least).withColumn("weight", weight).filter(F.col("weight") - 1.64 * F.sqrt(1 / a + 1 / b) >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MOST_TERMS)
     model = Model({r["term"]: float(r["weight"]) for r in terms.collect()})
     fitted = values_of(rows, model, "toxic").toPandas()
-    rows.unpersist()
     model.bias, model.slope = logistic_fit(fitted["value"].to_numpy(), fitted["label"].to_numpy().astype(float))
     return model
 
@@ -193,9 +196,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: documents with labels that aren't held out."""
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]), "doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """row, text, toxic, beginning of at most so many labelled documents that aren't held out, as a table.
+
+    The labels are chosen before any text is read; being so few, they travel to the texts.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    beginning = F.xxhash64(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+", BEGINNING + 1), 1, BEGINNING))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return written(found.select(F.monotonically_increasing_id().alias("row"), "text", "toxic", beginning.alias("beginning")), "labelled")
 
 
 def scorer(model: Model):
@@ -203,6 +213,7 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_words()
         automaton = model.automaton()
         for batch in texts:
             yield pa.array([model.score(weigh(automaton, t)) for t in utf8(batch)], pa.float64())
