@@ -15,7 +15,7 @@ from .common import keep_only
 
 END_ID = 1
 #: Words, and pieces, kept in a worker's memory; beyond it a table starts anew. Longer words are encoded each time.
-CACHED_WORDS, CACHED_PIECES = 1_200_000, 700_000
+CACHED_WORDS, CACHED_PIECES = 800_000, 450_000
 CACHED_BYTES = 64
 
 # Fixed value: how the tokenizer's pre-tokenizer cuts ASCII text, lower-cased.
