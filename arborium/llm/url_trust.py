@@ -13,6 +13,16 @@ distinct host pairs; each round is one join and one sum, written to the shared f
 Seeds are the share of a host's pages that a rule allows or blocks. Scores are not normalised to one:
 with a constant seed s and no links a host scores (1 - DAMPING) * s, scaled back to s.
 
+judge() is what the SQL states, with its cuts: only hosts of more than three labels have a parent, a parent
+without pages sends a host's own share back to it, and a blocked host's distrust is shared out among its
+linkers. judge_whole() has none of them. There two hosts are also tied both ways for each domain that holds
+both, from the registered one down, with weight FAMILY / (n - 1) in a domain of n hosts; a domain without pages
+of its own is no host and holds no score. A host's trust is the larger of its seed and
+(1 - DAMPING) * seed + DAMPING * the weighted mean trust of the hosts that link to it, its distrust the same over the
+hosts that it links to, so neither depends on how many others link to the same host, and both stay within 0 and 1.
+Rounds go on until no score moves by more than RESIDUAL; scores are then within RESIDUAL * DAMPING /
+(1 - DAMPING) of the limit. The ties of a domain are never made as pairs: a round sums each domain and takes the host's own share off.
+
 Defined results: a null url, or one without "://", has empty host and path, no rule and verdict allow;
 a null html has no links; repeated rows are judged one by one; an empty table gives an empty table.
 """
@@ -32,6 +42,10 @@ ROUNDS = 10
 MARGIN = 0.5
 #: Weight of an edge between a host and its parent, as many links.
 FAMILY = 1.0
+#: Largest move of a score in the last round of judge_whole().
+RESIDUAL = 1e-4
+#: Labels under which countries register domains (example.co.uk), besides the country itself; there is no list of public suffixes at hand.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org")
 LINK = r"""(?i)href\s*=\s*["']?(https?://[^"'\s>]+)"""
 
 
@@ -76,11 +90,16 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out.otherwise(F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) from pages with columns host and html, and between hosts and their parents."""
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) from pages with columns host and html: how many pages of src link to dst."""
     links = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda u: host_and_path(u)["host"]))
     linked = pages.filter(F.contains("html", F.lit("://")) & (F.col("host") != "")).select(F.col("host").alias("src"), F.explode(links).alias("dst"))
-    counted = linked.filter("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return linked.filter("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def host_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) from pages with columns host and html, and between hosts and their parents."""
+    counted = link_edges(pages)
     hosts = pages.select("host").distinct()
     family = hosts.filter(F.size(F.split("host", r"\.")) > 3).select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst"), F.lit(FAMILY).alias("weight"))
     both = family.unionByName(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -106,22 +125,96 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return state.select("host", (F.col("trust") / (1 - damping)).alias("trust"), (F.col("distrust") / (1 - damping)).alias("distrust"))
 
 
+def domains(host: Column) -> Column:
+    """The domains that hold a host, from itself up to the registered one; an address or a single label is its own."""
+    name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+    def up(labels: Column) -> Column:
+        n = F.size(labels)
+        country = (n > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, F.greatest(-n, F.lit(-2))).isin(*SECOND_LEVEL)
+        last = F.greatest(F.lit(1), n - F.when(country, 2).otherwise(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda k: F.array_join(F.slice(labels, k, n), "."))
+
+    return F.when(F.rlike(name, F.lit(r"^[0-9.]+$|^\[|^$")), F.array(name)).otherwise(let(F.split(name, r"\."), up))
+
+
+def families(hosts: DataFrame) -> DataFrame:
+    """(host, domain, n): the domains of each host that hold n > 1 hosts."""
+    held = written(hosts.select("host", F.explode(domains(F.col("host"))).alias("domain")), "host-domains")
+    shared = held.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(held.join(shared, "domain").select("host", "domain", "n"), "host-families")
+
+
+def settle(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL, family: float = FAMILY) -> DataFrame:
+    """(host, trust, distrust) of all hosts from links (src, dst, weight) and seeds (host, trusted, blocked)."""
+    links = written(links, "host-links")
+    hosts = seeds.select("host").union(links.select("src")).union(links.select("dst")).distinct()
+    own = written(hosts.join(seeds, "host", "left").select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")), "host-seeds")
+    kin = families(own.select("host"))
+    ties = kin.select("host", F.lit(family).alias("w_in"), F.lit(family).alias("w_out"))
+    into = links.select(F.col("dst").alias("host"), F.col("weight").alias("w_in"), F.lit(0.0).alias("w_out"))
+    out_of = links.select(F.col("src").alias("host"), F.lit(0.0).alias("w_in"), F.col("weight").alias("w_out"))
+    total = written(ties.unionByName(into).unionByName(out_of).groupBy("host").agg(F.sum("w_in").alias("w_in"), F.sum("w_out").alias("w_out")), "host-weights")
+    forward = links.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("weight").alias("t"), F.lit(0.0).alias("d"))
+    backward = links.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), F.col("weight").alias("d"))
+    moves = written(forward.unionByName(backward).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host-moves")
+    base = written(own.join(total, "host", "left"), "host-base")
+    linked, tied = bool(moves.head(1)), bool(kin.head(1))
+    state = written(own.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"), F.lit(0.0).alias("moved")), "host-scores")
+    while linked or tied:
+        got = []
+        if linked:
+            got.append(state.join(moves, "host").select(F.col("to").alias("host"), (F.col("trust") * F.col("t")).alias("trust"), (F.col("distrust") * F.col("d")).alias("distrust")))
+        if tied:
+            there = kin.join(state.select("host", "trust", "distrust"), "host")
+            sums = there.groupBy("domain").agg(F.sum("trust").alias("trust_sum"), F.sum("distrust").alias("distrust_sum"))
+            others = lambda c: (family * (F.col(f"{c}_sum") - F.col(c)) / (F.col("n") - 1)).alias(c)
+            got.append(there.join(sums, "domain").select("host", others("trust"), others("distrust")))
+        sent = got[0] if len(got) == 1 else got[0].unionByName(got[1])
+        received = sent.groupBy("host").agg(F.sum("trust").alias("t_in"), F.sum("distrust").alias("d_in"))
+        mean = lambda c, w: F.coalesce(F.col(c) / F.nullif(F.col(w), F.lit(0.0)), F.lit(0.0))
+        floor = lambda seed, c, w: F.greatest(F.col(seed), (1 - damping) * F.col(seed) + damping * mean(c, w))
+        after = base.join(received, "host", "left").select("host", floor("trusted", "t_in", "w_in").alias("trust"), floor("blocked", "d_in", "w_out").alias("distrust"))
+        before = state.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+        change = F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))).alias("moved")
+        new = written(after.join(before, "host").select("host", "trust", "distrust", change), "host-scores")
+        remove(state)
+        state = new
+        if (state.agg(F.max("moved")).first()[0] or 0.0) <= residual:
+            break
+    return state.select("host", "trust", "distrust")
+
+
 def seeds_of(judged: DataFrame) -> DataFrame:
     """(host, trusted, blocked): shares of the host's pages that a rule allows or blocks."""
     share = lambda verdict: F.avg(F.when(F.col("judged.verdict") == verdict, 1.0).otherwise(0.0))
     return judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """page_id, host, path, rule, verdict of each page."""
+def ruled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """page_id, html, host, path and judged, the rule that fits, of each page."""
     parsed = pages.select("page_id", "html", host_and_path(F.coalesce("url", F.lit(""))).alias("u")).select("page_id", "html", "u.host", "u.path")
-    judged = parsed.withColumn("judged", rule_for(F.col("host"), F.col("path"), rules))
-    scores = propagate(host_edges(parsed), seeds_of(judged), damping, rounds)
+    return parsed.withColumn("judged", rule_for(F.col("host"), F.col("path"), rules))
+
+
+def verdicts(judged: DataFrame, scores: DataFrame, margin: float) -> DataFrame:
     blocked = written(scores.filter(F.col("distrust") - F.col("trust") > margin).select("host", F.lit("block").alias("spread")), "blocked-hosts")
     out = judged.select("page_id", "host", "path", "judged").join(blocked, "host", "left")
     return out.select("page_id", "host", "path", F.col("judged.rule").alias("rule"), F.coalesce("judged.verdict", "spread", F.lit("allow")).alias("verdict"))
 
 
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """page_id, host, path, rule, verdict of each page, as the SQL states them."""
+    judged = ruled(pages, rules)
+    return verdicts(judged, propagate(host_edges(judged), seeds_of(judged), damping, rounds), margin)
+
+
+def judge_whole(pages: DataFrame, rules: Sequence[Rule] = RULES, margin: float = MARGIN, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """page_id, host, path, rule, verdict of each page, with scores that pass between all hosts of a domain and settle."""
+    judged = ruled(pages, rules)
+    return verdicts(judged, settle(link_edges(judged), seeds_of(judged), damping, residual), margin)
+
+
 def oracle_sql(rules: Sequence[Rule] = RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
     """judge() in DuckDB SQL, its rounds written one after the other."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
