@@ -288,12 +288,18 @@ PAIR = "a.neuron_id % 15 = 0 AND b.neuron_id % 15 = 7"
 
 
 def halves(v: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint collections of trees, for operators on two collections."""
-    return v.filter("neuron_id % 15 = 0"), v.filter("neuron_id % 15 = 7")
+    """All trees dealt to two collections by parity, for operators on two collections."""
+    return v.filter("pmod(neuron_id, 2) = 0"), v.filter("pmod(neuron_id, 2) = 1")
 
 
 @query("overlap_score", f"SELECT a.neuron_id AS out_id, b.neuron_id AS in_id, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / 2.0)), 4) AS score FROM v a, v b WHERE {PAIR} GROUP BY ALL", "heap")
 def overlap_score(v):
+    """Between the few trees that the SQL names; overlap_score_whole has all trees."""
+    return rounded(M.overlap_score(v.filter("neuron_id % 15 = 0"), v.filter("neuron_id % 15 = 7")), "score")
+
+
+@query("overlap_score_whole", None, "heap")
+def overlap_score_whole(v):
     return rounded(M.overlap_score(*halves(v)), "score")
 
 
