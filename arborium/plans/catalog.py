@@ -284,6 +284,15 @@ def sholl(v):
     return M.sholl(v, 10.0, 100.0)
 
 
+@query("sholl_whole", None, "caterpillar")
+def sholl_whole(v):
+    return M.sholl(v, 10.0, 1000.0)
+
+
+#: The same up to the reference's default end.
+ORACLE_SQL["sholl_whole"] = ORACLE_SQL["sholl"].replace("range(1, 11)", "range(1, 101)")
+
+
 PAIR = "a.neuron_id % 15 = 0 AND b.neuron_id % 15 = 7"
 
 
