@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash and odd sketches, with links confirmed on full sets.
 
 1. One pass over the texts. A document's set holds its distinct 5-word shingles, as 64-bit hashes. Its MinHash
-   samples give BANDS keys of ROWS samples each, and are folded into an odd sketch: a bitmap
+   samples give keys of some samples each (Likeness.bands, rows), and are folded into an odd sketch: a bitmap
    in which each (sample number, value) flips one bit. Equal word sequences are one class from here on.
 2. Classes that share a band key are tied to the smallest of them, and the ties' connected components
    are candidate groups: whatever is linked lies in one group.
@@ -11,8 +11,8 @@
    inside the unit need no look. A unit yields at most one link a class, so pairs never become rows.
 4. The confirmed links' components are the result.
 
-At a similarity of 0.85 the bands miss a link with a chance of 1e-5, and the sketch screen, which asks
-only for SCREEN, with less.
+The similarity is a parameter, 0.85 unless given. A pair right at it is missed by the bands with a chance of at most
+MISS (1.2e-5 at 0.85, 1.5e-5 at 0.80), and by the sketch screen, which lies five standard deviations lower, with less.
 
 Defined results: no words means an empty set, linked with nothing; a null id takes no part (it is its own
 component, null, and kept); rows that repeat an id and a text are in one component, all of them kept;
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, fresh, keep_only, remove, utf8, written
 
 SHINGLE = 5
-#: Linked: 100 * intersection >= PERCENT * union.
+#: Linked: 100 * intersection >= percent * union; this percentage unless given.
 PERCENT = 85
-BANDS, ROWS = 24, 6
-SAMPLES = BANDS * ROWS
+SAMPLES = 144
 SKETCH_BITS = 1024
-#: Similarity by odd sketch below which a pair isn't confirmed: five standard deviations under 0.85.
-SCREEN = 0.68
+#: Chance at most that the bands miss a pair right at the similarity.
+MISS = 2e-5
+#: Five standard deviations of an odd sketch's estimate, as a multiple of sqrt(s (1 - s)).
+DEVIATIONS = 0.476
 #: Classes in a block: this share of a group's, within bounds.
 LEAST_BLOCK, MOST_BLOCK, BLOCK_SHARE = 64, 2048, 32
 #: Bytes of shingle hashes that a block aims at.
@@ -108,10 +109,24 @@ def samples(found: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    rows = minima.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+class Likeness:
+    """What follows from the percentage that links: bands, samples in a band, most differing bits that pass the screen."""
+
+    def __init__(self, percent: int = PERCENT):
+        self.percent, s = percent, percent / 100
+        fit = [r for r in range(1, SAMPLES + 1) if (1 - s**r) ** (SAMPLES // r) <= MISS]
+        if not fit or percent > 100:
+            raise ValueError(f"no bands of {SAMPLES} samples find pairs at {percent} percent")
+        self.rows = max(fit)
+        self.bands = SAMPLES // self.rows
+        screen = s - DEVIATIONS * math.sqrt(s * (1 - s))
+        self.most_bits = int(SKETCH_BITS / 2 * (1 - math.exp((screen - 1) * 4 * SAMPLES / SKETCH_BITS)))
+
+
+def band_keys(minima: np.ndarray, bands: int, width: int) -> np.ndarray:
+    rows = minima[: bands * width].reshape(bands, width).astype(np.uint64)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(width):
         out = mixed(out * MIX + rows[:, k])
     return out.view(np.int64)
 
@@ -128,12 +143,9 @@ def estimated(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(1 - odd)
 
 
-#: Most differing bits of a pair that passes the screen.
-MOST_BITS = int(SKETCH_BITS / 2 * (1 - math.exp((SCREEN - 1) * 4 * SAMPLES / SKETCH_BITS)))
-
-
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, sequence, n_shingles, bands, sketch of each document; sequence null without words."""
+    like = Likeness(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_words()
@@ -151,7 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     minima = samples(found)
                     if len(seen) >= KEPT_TEXTS:
                         seen.clear()
-                    seen[key] = (key, len(found), band_keys(minima), odd_sketch(minima))
+                    seen[key] = (key, len(found), band_keys(minima, like.bands, like.rows), odd_sketch(minima))
                 rows.append(seen[key])
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "sequence", "n_shingles", "bands", "sketch"])
@@ -224,15 +236,15 @@ def blocked(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame
     return spread.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "sketch", "found")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Is 100 * intersection >= PERCENT * union, for sorted distinct arrays?"""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Is 100 * intersection >= percent * union, for sorted distinct arrays?"""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(ids: list[int], sketches: list[bytes], sets: list[bytes], left: int) -> list[tuple[int, int]]:
+def linked(ids: list[int], sketches: list[bytes], sets: list[bytes], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what is linked in a unit: pairs of the first left classes and the rest, or of all if left is 0."""
     parent = list(range(len(ids)))
 
@@ -242,23 +254,24 @@ def linked(ids: list[int], sketches: list[bytes], sets: list[bytes], left: int)
             k = parent[k]
         return k
 
+    most_bits = Likeness(percent).most_bits
     bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
     found = [np.frombuffer(s, np.uint64) for s in sets]
     size = np.array([len(f) for f in found])
     out = []
     for a in range(left or len(ids)):
         rest = slice(left, None) if left else slice(a + 1, None)
-        close = np.bitwise_count(bits[rest] ^ bits[a]).sum(1, dtype=np.int64) <= MOST_BITS
-        close &= 100 * np.minimum(size[rest], size[a]) >= PERCENT * np.maximum(size[rest], size[a])
+        close = np.bitwise_count(bits[rest] ^ bits[a]).sum(1, dtype=np.int64) <= most_bits
+        close &= 100 * np.minimum(size[rest], size[a]) >= percent * np.maximum(size[rest], size[a])
         for b in np.flatnonzero(close) + (left or a + 1):
             x, y = root(a), root(int(b))
-            if x != y and similar(found[a], found[b]):
+            if x != y and similar(found[a], found[b], percent):
                 parent[max(x, y)] = min(x, y)
                 out.append((ids[a], ids[b]))
     return out
 
 
-def confirmed(units: DataFrame) -> DataFrame:
+def confirmed(units: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) of the units' links."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +281,7 @@ def confirmed(units: DataFrame) -> DataFrame:
             if len(held) > 1:
                 left = sum(1 for h in held if not h[0]) if unit[1] != unit[2] else 0
                 if unit[1] == unit[2] or 0 < left < len(held):
-                    pairs = linked([h[1] for h in held], [h[2] for h in held], [h[3] for h in held], left)
+                    pairs = linked([h[1] for h in held], [h[2] for h in held], [h[3] for h in held], left, percent)
                     if pairs:
                         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
@@ -284,13 +297,13 @@ def confirmed(units: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "u long, v long")
 
 
-def classify(docs: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
-    signed = written(signatures(docs), "signatures")
+    signed = written(signatures(docs, percent), "signatures")
     known = signed.filter("sequence is not null and doc_id is not null")
     classes = written(known.groupBy("sequence").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("c")).select("sequence", "c.*"), "classes")
     groups = written(candidate_groups(classes), "candidates")
-    links = components(confirmed(blocked(docs, groups, classes)))
+    links = components(confirmed(blocked(docs, groups, classes), percent))
     found = classes.join(links.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     of = written(found.select("sequence", F.coalesce("component", "doc_id").alias("component")), "components")
     rows = signed.select("doc_id", "sequence", "n_shingles").join(of, "sequence", "left")
@@ -298,10 +311,10 @@ def classify(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each_stage(docs: DataFrame) -> DataFrame:
+def one_of_each_stage(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one row of each component, its smallest id; documents without words or id stay."""
     kept, n = fresh(docs, "dup_id", "dup_shingles")
-    verdict = classify(docs).filter("kept").select(F.col("doc_id").alias(kept), F.col("n_shingles").alias(n)).dropDuplicates([kept])
+    verdict = classify(docs, percent).filter("kept").select(F.col("doc_id").alias(kept), F.col("n_shingles").alias(n)).dropDuplicates([kept])
     marked = docs.join(verdict, F.col("doc_id") == F.col(kept), "left")
     single = marked.filter(F.col(n) > 0).drop(kept, n).dropDuplicates(["doc_id"])
     return single.unionByName(marked.filter(F.col("doc_id").isNull() | (F.col(n) == 0)).drop(kept, n)).select(*docs.columns)

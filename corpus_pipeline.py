@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from arborium.llm import mixing, neardup, packing, pii, toxicity
 from arborium.llm.common import written
 
+#: Documents with this percentage of shared word shingles, or more, are copies in WHOLE_STAGES; STAGES has op9_neardup's 85.
+COPY_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
@@ -18,6 +21,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.one_of_each_stage(docs)
 
 
+def drop_close_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same, with copies from COPY_PERCENT on."""
+    return neardup.one_of_each_stage(docs, COPY_PERCENT)
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the name of its kind."""
     return pii.masked_stage(docs)
@@ -40,13 +48,18 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
+WHOLE_STAGES = [(name, drop_close_copies if stage is drop_copies else stage) for name, stage in STAGES]
 
 #: Token ids, MinHash groups and the fitted lexicon are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
+
+
+def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, WHOLE_STAGES)
