@@ -6,7 +6,8 @@ further kinds stay if they reach THRESHOLD.
 
 Positions come from the lengths of the pieces between matches, so no text leaves the JVM. Offsets are
 code points, ends exclusive. Patterns use possessive runs and start only where a run starts (or where
-the last match ended): the same matches, found in one pass over texts of any length.
+the last match ended): the same matches, found in one pass over texts of any length. Contexts and masked texts are
+read from blocks of the text, never by walking from its start, so work is near linear in length and spans.
 
 Defined results: a null text is empty and has no spans; repeated rows are handled one by one; an empty
 table gives an empty table; other columns are carried along.
@@ -26,7 +27,7 @@ THRESHOLD = 0.5
 #: Characters before a span in which a context word counts, and what it adds.
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.3
-#: Values a block of the two-level running sum.
+#: Code points in a piece of a text from which contexts and gaps are read.
 BLOCK = 256
 
 
@@ -91,7 +92,7 @@ def card(match: Column) -> Column:
 KINDS: tuple[Kind, ...] = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, ("mail", "contact", "write to")),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", small_parts, 0.5, ("ip", "host", "server", "address")),
-    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", None, card, 0.7, ("card", "visa", "credit", "payment")),
+    Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", None, card, 0.7, ("card", "visa", "credit", "payment")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: between(F.length(digits(m)), 9, 15), 0.6, ("phone", "call", "tel", "mobile")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![A-Za-z0-9])", None, lambda m: let(F.translate(m, " ", ""), lambda a: F.when(between(F.length(a), 15, 34), mod97(a)).otherwise(False)), 0.9, ("iban", "account", "bank"), base=False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, ("ssn", "social security", "national id", "tax id"), base=False),
@@ -100,45 +101,52 @@ ORDER = [k.name for k in KINDS]
 
 
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """values joined from the first to each, for an array of longs; in blocks, so that work stays near linear."""
-    count = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(count / BLOCK).cast("int"))), lambda b: F.slice(values, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
-    state = lambda last, out: F.struct(last.alias("last"), out.alias("out"))
-    none = F.array().cast("array<bigint>")
+    """values joined from the first to each; join is associative. Reach doubles each round, so work is n log n."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
 
-    def one(a: Column, v: Column) -> Column:
-        return let(join(a["last"], v), lambda x: state(x, F.concat(a["out"], F.array(x))))
+    def double(a: Column, k: Column) -> Column:
+        before = lambda i: F.get(a, i - F.call_function("shiftleft", F.lit(1), k))
+        return F.transform(a, lambda v, i: F.when(before(i).isNull(), v).otherwise(join(before(i), v)))
 
-    def block(a: Column, b: Column) -> Column:
-        return let(F.aggregate(b, state(a["last"], none), one), lambda x: state(x["last"], F.concat(a["out"], x["out"])))
+    return F.aggregate(F.sequence(F.lit(0), rounds - 1), values, double)
 
-    return F.aggregate(blocks, state(F.lit(0).cast("bigint"), none), block, lambda a: a["out"])
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text cut by blocks(): only the blocks they lie in are read."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor(F.greatest(start, end - 1) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(cut, first + 1, last - first + 1), ""), (start - first * BLOCK).cast("int") + 1, (end - start).cast("int"))
 
 
 def matches(text: Column, kind: Kind) -> Column:
-    """Array of (kind, start, end, match) of the kind's confirmed matches."""
-    pattern = F.lit(kind.pattern)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string>>")
+    """Array of (start, end) of the kind's confirmed matches; their places come from the gaps between them."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def placed(found: Column) -> Column:
         steps = F.zip_with(found, F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found)), lambda m, gap: (F.length(m) + F.length(gap)).cast("bigint"))
-        spans = let(running(steps, lambda a, b: a + b), lambda ends: F.transform(found, lambda m, i: F.struct(F.lit(kind.name).alias("kind"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match"))))
-        return F.filter(spans, lambda s: kind.confirm(s["match"]))
+        spans = let(running(steps, lambda a, b: a + b), lambda ends: F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match"))))
+        return F.transform(F.filter(spans, lambda s: kind.confirm(s["match"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    proposed = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
+    proposed = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
     return F.when(F.contains(text, F.lit(kind.needs)), proposed).otherwise(none) if kind.needs else proposed
 
 
 def scored(text: Column, kind: Kind) -> Column:
     """Array of (start, rank, end, kind, score, base), kept ones only; rank is the kind's place in KINDS."""
 
-    def score(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))
+    def score(s: Column, cut: Column) -> Column:
+        near = F.lower(part(cut, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]))
         told = F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(near, w))
         total = kind.score + F.when(told, CONTEXT_GAIN).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(ORDER.index(kind.name)).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.least(total, F.lit(1.0)).alias("score"), F.lit(kind.base).alias("base"))
 
-    out = F.transform(matches(text, kind), score)
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,base:boolean>>")
+    out = let(matches(text, kind), lambda found: F.when(F.size(found) == 0, none).otherwise(let(blocks(text), lambda cut: F.transform(found, lambda s: score(s, cut)))))
     return out if kind.base else F.filter(out, lambda s: s["score"] >= THRESHOLD)
 
 
@@ -168,12 +176,11 @@ def masked_stage(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def masked(s: Column) -> Column:
-        def cut(reach: Column) -> Column:
-            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
-            part = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
-            pieces = F.transform(s, lambda x, i: F.when(x["start"] >= before(i), F.concat(part(before(i), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
-            return F.concat(F.array_join(pieces, ""), part(before(F.size(reach)), F.length(text).cast("bigint")))
+        def pieces(reach: Column, cut: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0).cast("bigint"))
+            kept = F.transform(s, lambda x, i: F.when(x["start"] >= before(i), F.concat(part(cut, before(i), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(kept, ""), part(cut, before(F.size(reach)), F.length(text).cast("bigint")))
 
-        return let(running(F.transform(s, lambda x: x["end"]), F.greatest), cut)
+        return let(running(F.transform(s, lambda x: x["end"]), F.greatest), lambda reach: let(blocks(text), lambda cut: pieces(reach, cut)))
 
     return with_spans(docs, found).withColumn("text", F.when(F.size(found) > 0, masked(F.col(found))).otherwise(F.col("text"))).select(*docs.columns)
