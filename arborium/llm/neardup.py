@@ -3,14 +3,20 @@
 1. One pass over the texts. A document's set holds its distinct 5-word shingles, as 64-bit hashes. Its MinHash
    samples give keys of some samples each (Likeness.bands, rows), and are folded into an odd sketch: a bitmap
    in which each (sample number, value) flips one bit. Equal word sequences are one class from here on.
-2. Classes that share a band key are tied to the smallest of them, and the ties' connected components
-   are candidate groups: whatever is linked lies in one group.
-3. Each group is cut into blocks of a bounded number of classes, and each pair of blocks is one unit of
-   work, so no group of any size meets in a task. Inside a unit pairs are screened by set size, then by the
-   similarity that the XOR of their odd sketches gives, and confirmed on the full sets; pairs already connected
-   inside the unit need no look. A unit yields at most one link a class, so pairs never become rows.
+2. Classes that share a band key form a bucket. Each is held against the bucket's smallest class: by the similarity
+   that the XOR of their odd sketches gives, which needs ids and sketches only, and where that passes on the full sets.
+   The confirmed links' components are the first groups; in most buckets all classes are then in one group.
+3. In a bucket that isn't whole, the classes outside the group of its anchor are held against all classes of the
+   bucket, by sketches again, in units of at most BLOCK classes; pairs in different groups are proposed, the most alike
+   first and some for each class at a time, and confirmed on full sets. What they link joins groups, and further pairs
+   are proposed until none is left: every pair of a bucket is in one group, or was screened out, or was confirmed or refuted.
 4. The confirmed links' components are the result.
 
+Rows made: a class for each of its buckets, a pair for each class and anchor, then FIRST (later more) pairs for a class
+outside its anchor's group. Sets travel to pairs that pass the screen only. A bucket of n classes, of which m stay outside
+its anchor's group, sends n + m * n / BLOCK sketches: quadratic only where a bucket beyond BLOCK holds texts that share
+samples and still aren't linked with each other. Keys with many rows (band keys, group centres, ids, texts) are split.
+
 The similarity is a parameter, 0.85 unless given. A pair right at it is missed by the bands with a chance of at most
 MISS (1.2e-5 at 0.85, 1.5e-5 at 0.80), and by the sketch screen, which lies five standard deviations lower, with less.
 
@@ -27,9 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..skew import hot_keys, hot_of, join_spread
 from .common import LOWER_BYTES, fresh, keep_only, remove, utf8, written
 
 SHINGLE = 5
@@ -41,10 +48,12 @@ SKETCH_BITS = 1024
 MISS = 2e-5
 #: Five standard deviations of an odd sketch's estimate, as a multiple of sqrt(s (1 - s)).
 DEVIATIONS = 0.476
-#: Classes in a block: this share of a group's, within bounds.
-LEAST_BLOCK, MOST_BLOCK, BLOCK_SHARE = 64, 2048, 32
-#: Bytes of shingle hashes that a block aims at.
-BLOCK_BYTES = 8 << 20
+#: Classes of a bucket that are compared in one unit.
+BLOCK = 2048
+#: Pairs proposed for a class of a unit at first, and how that grows each time.
+FIRST, GROWTH = 8, 8
+#: Pairs with one first class that are confirmed in one unit, or the PAIR_PARTS-th part of all pairs if that is more.
+PAIR_ROWS, PAIR_PARTS = 64, 4096
 #: Shingles hashed at a time, and words and texts whose hashes a worker keeps.
 SLICE, KEPT_WORDS, KEPT_TEXTS = 4096, 400_000, 512
 
@@ -131,10 +140,10 @@ def band_keys(minima: np.ndarray, bands: int, width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(minima: np.ndarray) -> bytes:
-    """Bitmap in which each (number, sample) flips one bit."""
+def odd_sketch(minima: np.ndarray) -> np.ndarray:
+    """Bitmap, as 64-bit numbers, in which each (number, sample) flips one bit."""
     at = mixed(minima.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def estimated(differing: np.ndarray) -> np.ndarray:
@@ -165,26 +174,27 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         seen.clear()
                     seen[key] = (key, len(found), band_keys(minima, like.bands, like.rows), odd_sketch(minima))
                 rows.append(seen[key])
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "sequence", "n_shingles", "bands", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(sign, "doc_id long, sequence binary, n_shingles long, bands array<long>, sketch binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(sign, "doc_id long, sequence binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (u, v); the component is its smallest node.
 
-    Alternates large and small stars: neighbours are tied to the smallest node around, until nothing changes.
+    Alternates large and small stars: neighbours are tied to the smallest node around, until nothing changes. A node
+    with very many neighbours is split among tasks.
     """
     current = written(edges.selectExpr("greatest(u, v) as u", "least(u, v) as v").filter("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, current.count()
     while True:
         both = current.unionByName(current.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.filter("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
+        large = join_spread(both.filter("v > u"), least, "u", hot=hot_keys(both.filter("v > u"), "u", total)).selectExpr("v as u", "m as v").distinct()
         middle = written(large, "edges")
         smallest = middle.groupBy("u").agg(F.min("v").alias("m"))
-        tied = middle.join(smallest, "u")
+        tied = join_spread(middle, smallest, "u", hot=hot_keys(middle, "u", total))
         small = tied.selectExpr("v as u", "m as v").filter("u <> v").unionByName(smallest.selectExpr("u", "m as v")).distinct()
         after = written(small, "edges")
         remove(current)
@@ -193,47 +203,122 @@ def components(edges: DataFrame) -> DataFrame:
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     stars = current.selectExpr("u as node", "v as component")
     return stars.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, component, n, bytes) of the classes that share a band key with another, by representative."""
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, doc_id, first, n): a row for each class and each of its band keys that others share; first is the bucket's smallest."""
     keyed = classes.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    ties = keyed.join(shared, "key").filter("doc_id <> first").selectExpr("doc_id as u", "first as v")
-    found = written(components(ties), "groups")
-    sized = found.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    size = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    return found.join(size, "component")
-
-
-def blocked(docs: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """(component, i, j, side, doc_id, sketch, found): a class for each unit (i, j) of its group that needs it."""
-    wanted = groups.join(classes.select(F.col("doc_id").alias("node"), "sequence"), "node")
-    per_block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("n") / BLOCK_SHARE)))
-    blocks = F.greatest(F.ceil(F.col("n") / per_block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    wanted = wanted.select("node", "sequence", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.selectExpr("cast(doc_id as long) as node", "text").join(wanted, "node")
+    shared = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    return written(join_spread(keyed, shared, "key", hot=hot_of(shared.select("key", "n"), total)), "bucket-members")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, found): the sets of the classes in wanted (doc_id, sequence), once each."""
+    texts = join_spread(docs.selectExpr("cast(doc_id as long) as doc_id", "text").filter("doc_id is not null"), wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_words()
         for batch in batches:
-            rows = []
+            at, found = [], []
             for k, (text, sequence) in enumerate(zip(utf8(batch.column("text")), batch.column("sequence").to_pylist(), strict=True)):
                 words = words_of(text)
                 if words and sequence_hash(words) == sequence:
-                    found = shingles(words)
-                    rows.append((k, odd_sketch(samples(found)), found.tobytes()))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            kept = batch.select(["component", "blocks", "block", "node"]).take(at)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["component", "blocks", "block", "doc_id", "sketch", "found"])
+                    at.append(k)
+                    found.append(shingles(words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["doc_id", "found"])
+
+    return texts.select("doc_id", "text", "sequence").mapInArrow(sets, "doc_id long, found binary").dropDuplicates(["doc_id"])
+
+
+def close(na: str, nb: str, sa: str, sb: str, like: Likeness) -> Column:
+    """May two classes be linked, by their set sizes and odd sketches?"""
+    differing = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return (100 * F.least(na, nb) >= like.percent * F.greatest(na, nb)) & (differing <= like.most_bits)
+
+
+def leader_pairs(members: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): each class with the smallest of each of its buckets, where sizes and sketches allow a link."""
+    pairs = written(members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "leader-pairs")
+    of = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return join_spread(pairs.join(of("b"), "b"), of("a"), "a", hot=hot_of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), pairs.count())).filter(close("na", "nb", "sa", "sb", like)).select("a", "b")
+
+
+def open_buckets(members: DataFrame, groups: DataFrame, anchors: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members with their component, buckets that hold several with anchor, its component and n, anchors).
 
-    made = texts.mapInArrow(sets, "component long, blocks int, block int, doc_id long, sketch binary, found binary")
-    unit = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = made.select("*", unit)
-    return spread.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "sketch", "found")
+    A bucket's anchor is the smallest class of its largest group when first asked, and stays.
+    """
+    known = groups.select(F.col("node").alias("doc_id"), "component")
+    placed = written(members.filter("n > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    if anchors is None:
+        sized = placed.groupBy("key", "component", "n").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("doc_id"))
+        anchors = written(sized.groupBy("key", "n").agg(F.max_by("doc_id", F.struct("held", -F.col("doc_id"))).alias("anchor")).join(parted, "key", "left_semi"), "anchors")
+    of_anchor = known.withColumnsRenamed({"doc_id": "anchor", "component": "held_by"})
+    buckets = anchors.join(parted, "key", "left_semi").join(of_anchor, "anchor", "left").select("key", F.col("n").alias("in_bucket"), F.coalesce("held_by", "anchor").alias("held_by"))
+    return placed, written(buckets, "open-buckets"), anchors
+
+
+def units(placed: DataFrame, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (key, block, side, doc_id, component, leads, n_shingles, sketch): side 0 has the classes of a block of a bucket, side 1 those of the bucket outside its anchor's group."""
+    total = buckets.agg(F.sum("in_bucket")).first()[0] or 0
+    members = join_spread(placed, buckets, "key", hot=hot_of(buckets.select("key", F.col("in_bucket").alias("n")), total))
+    rows = members.join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
+    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(0).alias("side")))
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("side")))
+    at = F.explode(F.when(F.col("component") == F.col("held_by"), own).otherwise(F.concat(own, every))).alias("at")
+    return rows.select("key", "doc_id", "component", (F.col("doc_id") == F.col("first")).alias("leads"), "n_shingles", "sketch", at).select("key", "at.block", "at.side", "doc_id", "component", "leads", "n_shingles", "sketch")
+
+
+def proposed(rows: DataFrame, like: Likeness, low: int, high: int) -> DataFrame:
+    """(a, b) of the units' pairs in different groups that pass the screen and aren't a bucket's leader with another.
+
+    Of a class's partners in a unit, most alike first, those from the low-th to the high-th are given; a row of nulls says
+    that a class has further ones.
+    """
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, more = None, [], False
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            nonlocal more
+            inside, outside = ([h for h in held if h[0] == side] for side in (0, 1))
+            if not inside or not outside:
+                return
+            ids, groups, sizes = (np.array([h[k] for h in inside], np.int64) for k in (1, 2, 4))
+            leads = np.array([h[3] for h in inside])
+            bits = np.array([h[5] for h in inside], np.int64).view(np.uint64)
+            out: list[tuple[int, int]] = []
+            for _, doc, group, first, size, sketch in outside:
+                if first:
+                    continue
+                differing = np.bitwise_count(bits ^ np.array(sketch, np.int64).view(np.uint64)).sum(1, dtype=np.int64)
+                fits = np.flatnonzero((differing <= like.most_bits) & (100 * np.minimum(sizes, size) >= like.percent * np.maximum(sizes, size)) & (ids != doc) & ~leads)
+                ranked = fits[np.lexsort((ids[fits], differing[fits]))]
+                apart = groups[ranked] != group
+                more = more or bool(apart[high:].any())
+                out += [(min(doc, other), max(doc, other)) for other in ids[ranked[low:high][apart[low:high]]].tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        names = ("side", "doc_id", "component", "leads", "n_shingles", "sketch")
+        for batch in batches:
+            for key, block, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", *names)), strict=True):
+                if (key, block) != unit:
+                    yield from pairs()
+                    unit, held = (key, block), []
+                held.append(row)
+        yield from pairs()
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "side", "doc_id")
+    return dealt.mapInArrow(propose, "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -244,57 +329,53 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(ids: list[int], sketches: list[bytes], sets: list[bytes], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what is linked in a unit: pairs of the first left classes and the rest, or of all if left is 0."""
-    parent = list(range(len(ids)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    most_bits = Likeness(percent).most_bits
-    bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
-    found = [np.frombuffer(s, np.uint64) for s in sets]
-    size = np.array([len(f) for f in found])
-    out = []
-    for a in range(left or len(ids)):
-        rest = slice(left, None) if left else slice(a + 1, None)
-        close = np.bitwise_count(bits[rest] ^ bits[a]).sum(1, dtype=np.int64) <= most_bits
-        close &= 100 * np.minimum(size[rest], size[a]) >= percent * np.maximum(size[rest], size[a])
-        for b in np.flatnonzero(close) + (left or a + 1):
-            x, y = root(a), root(int(b))
-            if x != y and similar(found[a], found[b], percent):
-                parent[max(x, y)] = min(x, y)
-                out.append((ids[a], ids[b]))
-    return out
-
-
-def confirmed(units: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (u, v) of the units' links."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                left = sum(1 for h in held if not h[0]) if unit[1] != unit[2] else 0
-                if unit[1] == unit[2] or 0 < left < len(held):
-                    pairs = linked([h[1] for h in held], [h[2] for h in held], [h[3] for h in held], left, percent)
-                    if pairs:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (u, v): the pairs (a, b), a table, that are similar on full sets.
 
+    A unit holds one class, whose set is kept, and some of its partners, which pass one by one.
+    """
+    parts = max(1, pairs.count() // PAIR_PARTS, PAIR_ROWS)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+    firsts = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.col("a").alias("doc_id"), "found")
+    seconds = join_spread(dealt, sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", F.lit(1).alias("side"), F.col("b").alias("doc_id"), "found")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, None
         for batch in batches:
-            for *key, side, doc, sketch, found in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "side", "doc_id", "sketch", "found")), strict=True):
-                if key != unit:
-                    yield from close()
-                    unit, held = key, []
-                held.append((side, doc, sketch, found))
-        yield from close()
+            out = []
+            for a, part, side, doc, found in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "side", "doc_id", "found")), strict=True):
+                here = np.frombuffer(found, np.uint64)
+                if not side:
+                    unit, held = (a, part), here
+                elif (a, part) == unit and similar(held, here, percent):
+                    out.append((a, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    rows = firsts.unionByName(seconds).repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
+    return rows.mapInArrow(confirm, "u long, v long")
 
-    dealt = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id")
-    return dealt.mapInArrow(link, "u long, v long")
+
+def linked_groups(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, first: int = FIRST) -> DataFrame:
+    """(node, component) of the classes that are linked with another."""
+    like = Likeness(percent)
+    members = bucket_members(classes)
+    candidates = classes.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    sketches = written(candidates.select("doc_id", "sequence", "n_shingles", "sketch"), "candidates")
+    sets = written(shingle_sets(docs, sketches.select("doc_id", "sequence")), "shingle-sets")
+    links = written(confirmed(written(leader_pairs(members, sketches, like), "screened"), sets, percent), "links")
+    groups, anchors, low, high = components(links), None, 0, first
+    while True:
+        placed, buckets, anchors = open_buckets(members, groups, anchors)
+        if not buckets.head(1):  # all buckets are whole
+            return groups
+        found = written(proposed(units(placed, buckets, sketches), like, low, high), "proposed")
+        pairs = written(found.filter("a is not null").distinct(), "screened")
+        if pairs.head(1):
+            links = written(links.unionByName(confirmed(pairs, sets, percent)), "links")
+            groups = components(links)
+        if not found.filter("a is null").head(1):
+            return groups
+        low, high = high, GROWTH * high
 
 
 def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -302,13 +383,12 @@ def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = written(signatures(docs, percent), "signatures")
     known = signed.filter("sequence is not null and doc_id is not null")
     classes = written(known.groupBy("sequence").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("c")).select("sequence", "c.*"), "classes")
-    groups = written(candidate_groups(classes), "candidates")
-    links = components(confirmed(blocked(docs, groups, classes), percent))
-    found = classes.join(links.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    groups = linked_groups(docs, classes, percent)
+    found = classes.select("sequence", "doc_id").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     of = written(found.select("sequence", F.coalesce("component", "doc_id").alias("component")), "components")
-    rows = signed.select("doc_id", "sequence", "n_shingles").join(of, "sequence", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id")
-    return rows.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = join_spread(known.select("doc_id", "sequence", "n_shingles"), of, "sequence").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    others = signed.filter("sequence is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionByName(others).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_stage(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
