@@ -6,16 +6,16 @@
 2. Classes that share a band key form a bucket. Each is held against the bucket's smallest class: by the similarity
    that the XOR of their odd sketches gives, which needs ids and sketches only, and where that passes on the full sets.
    The confirmed links' components are the first groups; in most buckets all classes are then in one group.
-3. In a bucket that isn't whole, the classes outside the group of its anchor are held against all classes of the
-   bucket, by sketches again, in units of at most BLOCK classes; pairs in different groups are proposed, the most alike
-   first and some for each class at a time, and confirmed on full sets. What they link joins groups, and further pairs
-   are proposed until none is left: every pair of a bucket is in one group, or was screened out, or was confirmed or refuted.
-4. The confirmed links' components are the result.
+3. In a bucket that isn't whole, the classes outside the group of its anchor are held against each other and against the
+   anchor's group, in units of at most two blocks of BLOCK classes, each pair in the first band that it shares: by
+   sketches first, and those classes that pass with another come again with their sets and are confirmed. A unit
+   yields at most one link a class.
+4. The confirmed links' components are the result: every pair that shares a band is in one group, or screened out, or refuted.
 
-Rows made: a class for each of its buckets, a pair for each class and anchor, then FIRST (later more) pairs for a class
-outside its anchor's group. Sets travel to pairs that pass the screen only. A bucket of n classes, of which m stay outside
-its anchor's group, sends n + m * n / BLOCK sketches: quadratic only where a bucket beyond BLOCK holds texts that share
-samples and still aren't linked with each other. Keys with many rows (band keys, group centres, ids, texts) are split.
+Rows made: a class for each of its buckets, a pair for each class and anchor, and in open buckets a class for each unit
+of it. A bucket of n classes, m of them outside its anchor's group, sends about 2 n + m * n / BLOCK rows: quadratic only
+where a bucket beyond BLOCK holds texts that share samples and still aren't linked with each other. Keys with many
+rows (band keys, group centres, ids, texts) are split.
 
 The similarity is a parameter, 0.85 unless given. A pair right at it is missed by the bands with a chance of at most
 MISS (1.2e-5 at 0.85, 1.5e-5 at 0.80), and by the sketch screen, which lies five standard deviations lower, with less.
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..skew import hot_keys, hot_of, join_spread
-from .common import LOWER_BYTES, fresh, keep_only, remove, utf8, written
+from .common import LOWER_BYTES, fresh, keep_only, let, remove, utf8, written
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= percent * union; this percentage unless given.
@@ -48,10 +48,8 @@ SKETCH_BITS = 1024
 MISS = 2e-5
 #: Five standard deviations of an odd sketch's estimate, as a multiple of sqrt(s (1 - s)).
 DEVIATIONS = 0.476
-#: Classes of a bucket that are compared in one unit.
-BLOCK = 2048
-#: Pairs proposed for a class of a unit at first, and how that grows each time.
-FIRST, GROWTH = 8, 8
+#: Classes in a block of a bucket.
+BLOCK = 512
 #: Pairs with one first class that are confirmed in one unit, or the PAIR_PARTS-th part of all pairs if that is more.
 PAIR_ROWS, PAIR_PARTS = 64, 4096
 #: Shingles hashed at a time, and words and texts whose hashes a worker keeps.
@@ -209,8 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(key, doc_id, first, n): a row for each class and each of its band keys that others share; first is the bucket's smallest."""
-    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+    """(key, doc_id, band, first, n): a row for each class and each of its band keys that others share; first is the bucket's smallest."""
+    keyed = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
     return written(join_spread(keyed, shared, "key", hot=hot_of(shared.select("key", "n"), total)), "bucket-members")
@@ -247,85 +245,120 @@ def leader_pairs(members: DataFrame, sketches: DataFrame, like: Likeness) -> Dat
     return join_spread(pairs.join(of("b"), "b"), of("a"), "a", hot=hot_of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), pairs.count())).filter(close("na", "nb", "sa", "sb", like)).select("a", "b")
 
 
-def open_buckets(members: DataFrame, groups: DataFrame, anchors: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members with their component, buckets that hold several with anchor, its component and n, anchors).
+def unlinked_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, doc_id, band, leads, component, inside, others, held): the members of buckets that hold several groups.
 
-    A bucket's anchor is the smallest class of its largest group when first asked, and stays.
+    inside tells the group of the anchor, the smallest class of the bucket's largest group; others and held count the
+    bucket's members outside and inside it.
     """
     known = groups.select(F.col("node").alias("doc_id"), "component")
     placed = written(members.filter("n > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    parted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    if anchors is None:
-        sized = placed.groupBy("key", "component", "n").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("doc_id"))
-        anchors = written(sized.groupBy("key", "n").agg(F.max_by("doc_id", F.struct("held", -F.col("doc_id"))).alias("anchor")).join(parted, "key", "left_semi"), "anchors")
-    of_anchor = known.withColumnsRenamed({"doc_id": "anchor", "component": "held_by"})
-    buckets = anchors.join(parted, "key", "left_semi").join(of_anchor, "anchor", "left").select("key", F.col("n").alias("in_bucket"), F.coalesce("held_by", "anchor").alias("held_by"))
-    return placed, written(buckets, "open-buckets"), anchors
-
-
-def units(placed: DataFrame, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows (key, block, side, doc_id, component, leads, n_shingles, sketch): side 0 has the classes of a block of a bucket, side 1 those of the bucket outside its anchor's group."""
-    total = buckets.agg(F.sum("in_bucket")).first()[0] or 0
-    members = join_spread(placed, buckets, "key", hot=hot_of(buckets.select("key", F.col("in_bucket").alias("n")), total))
-    rows = members.join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
-    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(0).alias("side")))
-    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("side")))
-    at = F.explode(F.when(F.col("component") == F.col("held_by"), own).otherwise(F.concat(own, every))).alias("at")
-    return rows.select("key", "doc_id", "component", (F.col("doc_id") == F.col("first")).alias("leads"), "n_shingles", "sketch", at).select("key", "at.block", "at.side", "doc_id", "component", "leads", "n_shingles", "sketch")
-
-
-def proposed(rows: DataFrame, like: Likeness, low: int, high: int) -> DataFrame:
-    """(a, b) of the units' pairs in different groups that pass the screen and aren't a bucket's leader with another.
-
-    Of a class's partners in a unit, most alike first, those from the low-th to the high-th are given; a row of nulls says
-    that a class has further ones.
+    sized = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    largest = F.max_by(F.struct("component", "held"), F.struct("held", -F.col("component"))).alias("largest")
+    parted = sized.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("held").alias("n"), largest).filter("groups > 1")
+    buckets = written(parted.select("key", "n", F.col("largest.component").alias("anchor"), F.col("largest.held").alias("held")), "open-buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    joined = join_spread(placed.drop("n"), buckets, "key", hot=hot_of(buckets.select("key", "n"), total))
+    return joined.select("key", "doc_id", "band", (F.col("doc_id") == F.col("first")).alias("leads"), "component", (F.col("component") == F.col("anchor")).alias("inside"), (F.col("n") - F.col("held")).alias("others"), "held")
+
+
+def units(members: DataFrame) -> DataFrame:
+    """members for each unit (key, i, j) that they belong to, with side 0 or 1.
+
+    Members outside the anchor's group are cut into blocks i; a unit holds two of these blocks, or one of them and a block of
+    the anchor's group.
     """
+    many = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    outside = let(block(many("others")), lambda p: F.concat(F.transform(upto(many("others")), lambda q: place(F.least(p, q), F.greatest(p, q), p > q)), F.transform(upto(many("held")), lambda r: place(p, many("others") + r, F.lit(0)))))
+    inside = let(block(many("held")), lambda r: F.transform(upto(many("others")), lambda p: place(p, many("others") + r, F.lit(1))))
+    at = F.explode(F.when(F.col("inside"), inside).otherwise(outside)).alias("at")
+    return members.select("key", "band", "doc_id", "leads", "component", at).select("key", "at.i", "at.j", "at.side", "band", "doc_id", "leads", "component")
+
+
+UNIT = ["key", "i", "j"]
+MEMBER = ["side", "band", "doc_id", "leads", "component", "n_shingles", "sketch", "bands"]
+
+
+def by_unit(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """(unit, its rows as lists by column) of batches sorted by unit."""
+    unit, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*UNIT, *columns)), strict=True):
+            if row[:3] != unit:
+                if held:
+                    yield unit, list(map(list, zip(*held, strict=True)))
+                unit, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield unit, list(map(list, zip(*held, strict=True)))
+
+
+def partners(columns: list[list], like: Likeness) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a unit's pairs in different groups that share no earlier band and pass the screen; a bucket's leader has met all."""
+    side, band, leads, groups, size = (np.array(columns[k]) for k in (0, 1, 3, 4, 5))
+    bits, bands = np.array(columns[6], np.int64).view(np.uint64), np.array(columns[7], np.int64)
+    two = bool(side.any())
+    for a in np.flatnonzero((side == 0) & ~leads):
+        may = (groups != groups[a]) & ~leads & ((side == 1) if two else (np.arange(len(side)) > a))
+        may &= 100 * np.minimum(size, size[a]) >= like.percent * np.maximum(size, size[a])
+        rest = np.flatnonzero(may)
+        rest = rest[np.bitwise_count(bits[rest] ^ bits[a]).sum(1, dtype=np.int64) <= like.most_bits]
+        rest = rest[(bands[rest] == bands[a]).argmax(1) == band[a]]
+        if len(rest):
+            yield int(a), rest
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "doc_id")
+
+
+def possible(rows: DataFrame, like: Likeness) -> DataFrame:
+    """The rows (key, i, j, doc_id) of units that have a partner by sizes and sketches."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, columns in by_unit(batches, MEMBER):
+            found = sorted({k for a, rest in partners(columns, like) for k in (a, *rest.tolist())})
+            if found:
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(found), t) for v, t in zip(unit, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([columns[2][k] for k in found], pa.int64())], names=[*UNIT, "doc_id"])
+
+    return dealt(rows).mapInArrow(look, "key long, i int, j int, doc_id long")
+
+
+def links_in(rows: DataFrame, like: Likeness) -> DataFrame:
+    """Edges (u, v) that connect what is linked in each unit, confirmed on full sets; pairs connected already need no look."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, columns in by_unit(batches, [*MEMBER, "found"]):
+            ids, found = columns[2], [np.frombuffer(f, np.uint64) for f in columns[8]]
+            parent = {g: g for g in columns[4]}
+            out = []
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, more = None, [], False
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            nonlocal more
-            inside, outside = ([h for h in held if h[0] == side] for side in (0, 1))
-            if not inside or not outside:
-                return
-            ids, groups, sizes = (np.array([h[k] for h in inside], np.int64) for k in (1, 2, 4))
-            leads = np.array([h[3] for h in inside])
-            bits = np.array([h[5] for h in inside], np.int64).view(np.uint64)
-            out: list[tuple[int, int]] = []
-            for _, doc, group, first, size, sketch in outside:
-                if first:
-                    continue
-                differing = np.bitwise_count(bits ^ np.array(sketch, np.int64).view(np.uint64)).sum(1, dtype=np.int64)
-                fits = np.flatnonzero((differing <= like.most_bits) & (100 * np.minimum(sizes, size) >= like.percent * np.maximum(sizes, size)) & (ids != doc) & ~leads)
-                ranked = fits[np.lexsort((ids[fits], differing[fits]))]
-                apart = groups[ranked] != group
-                more = more or bool(apart[high:].any())
-                out += [(min(doc, other), max(doc, other)) for other in ids[ranked[low:high][apart[low:high]]].tolist()]
+            def root(g: int) -> int:
+                while parent[g] != g:  # noqa: B023
+                    parent[g] = parent[parent[g]]  # noqa: B023
+                    g = parent[g]  # noqa: B023
+                return g
+
+            for a, rest in partners(columns, like):
+                for b in rest.tolist():
+                    x, y = root(columns[4][a]), root(columns[4][b])
+                    if x != y and similar(found[a], found[b], like.percent):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((ids[a], ids[b]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        names = ("side", "doc_id", "component", "leads", "n_shingles", "sketch")
-        for batch in batches:
-            for key, block, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", *names)), strict=True):
-                if (key, block) != unit:
-                    yield from pairs()
-                    unit, held = (key, block), []
-                held.append(row)
-        yield from pairs()
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "side", "doc_id")
-    return dealt.mapInArrow(propose, "a long, b long")
+    return dealt(rows).mapInArrow(link, "u long, v long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Is 100 * intersection >= percent * union, for sorted distinct arrays?"""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -355,27 +388,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return rows.mapInArrow(confirm, "u long, v long")
 
 
-def linked_groups(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, first: int = FIRST) -> DataFrame:
+def linked_groups(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
     like = Likeness(percent)
     members = bucket_members(classes)
-    candidates = classes.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    sketches = written(candidates.select("doc_id", "sequence", "n_shingles", "sketch"), "candidates")
+    sketches = written(classes.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     sets = written(shingle_sets(docs, sketches.select("doc_id", "sequence")), "shingle-sets")
     links = written(confirmed(written(leader_pairs(members, sketches, like), "screened"), sets, percent), "links")
-    groups, anchors, low, high = components(links), None, 0, first
-    while True:
-        placed, buckets, anchors = open_buckets(members, groups, anchors)
-        if not buckets.head(1):  # all buckets are whole
-            return groups
-        found = written(proposed(units(placed, buckets, sketches), like, low, high), "proposed")
-        pairs = written(found.filter("a is not null").distinct(), "screened")
-        if pairs.head(1):
-            links = written(links.unionByName(confirmed(pairs, sets, percent)), "links")
-            groups = components(links)
-        if not found.filter("a is null").head(1):
-            return groups
-        low, high = high, GROWTH * high
+    groups = components(links)
+    apart = units(unlinked_members(members, groups)).join(sketches.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
+    apart = written(apart.select(*UNIT, *MEMBER), "units")
+    kept = written(possible(apart, like), "possible")
+    if not kept.head(1):
+        return groups
+    more = links_in(apart.join(kept, [*UNIT, "doc_id"]).join(sets, "doc_id").select(*UNIT, *MEMBER, "found"), like)
+    return components(links.unionByName(more))
 
 
 def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
