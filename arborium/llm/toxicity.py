@@ -2,44 +2,48 @@
 
 Texts are folded word by word: look-alike letters of other scripts, digits and signs that stand for letters,
 and accents are mapped to a-z, everything else inside a word is dropped ("1d!0t" and "іdіоt" become "idiot").
-The lexicon is learned from labelled rows: folded words that stand in at least MIN_SHARE of the toxic
-texts and far more often there than in others, weighted by their log odds. A text's score is the logistic
-of the weight of its matches, normalised by its length; matches inside an exception phrase don't
-count. Only the text enters a score.
+The lexicon is learned from labelled rows: folded words in MIN_COUNT toxic texts or more and far more often there than
+in others, at any size of the table, weighted by their log odds. A text's score is the logistic of the weight of its
+matches, normalised by its length; matches inside an exception phrase don't count. Exception phrases are two
+words, one of them a term, that stand surely more often in texts labelled harmless; some are given. Only the text enters
+a score.
 
-Learning reads at most MOST_LABELLED labelled rows, chosen by a hash of the id; texts that begin alike count
-once, so that a group of copies doesn't make its words look toxic. Lexicon and weights are small and bounded by
-MOST_TERMS, so they travel with the tasks. Scoring covers every whole text.
+Learning reads at most MOST_LABELLED labelled rows, chosen by a hash of the id, one text an id; copies and near copies,
+texts of one class that share the smallest hash of their five-word shingles, count once, so that a group of copies doesn't
+make its words look toxic. A lexicon has less terms than these rows have words, so it travels with the tasks.
+Scoring covers every whole text.
 
 Defined results: a null or empty text has no matches and scores the model's floor; without labels of both
-classes the lexicon is empty and all texts score 0; repeated rows are scored one by one; other
-columns are carried along.
+classes the lexicon is empty and all texts score 0; an id labelled both ways counts as toxic; of rows that share a labelled
+id one text is learned from, the one with the smallest hash; repeated rows are scored one by one; other columns are
+carried along.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, keep_only, utf8, written
+from .common import fresh, keep_only, let, utf8, written
 
 THRESHOLD = 0.3
 #: Bounds of learning, all documented parameters.
 MOST_LABELLED = 40_000
-MOST_TERMS = 400
-MIN_SHARE = 0.004
 MIN_COUNT = 4
-#: A term's log odds less 1.64 times their standard error must reach this.
+#: A term's log odds less CERTAIN times their standard error must reach this; the odds that a text with an exception phrase is harmless must surely exceed one.
 MIN_WEIGHT = 1.0
-#: Words by which two texts begin alike.
-BEGINNING = 60
+CERTAIN = 1.64
+#: Words of a shingle by which copies are known.
+SHINGLE = 5
 #: Words at which length halves the weight of a match, softly: weight / (1 + log(1 + words / LENGTH)).
 LENGTH = 1000
 
@@ -53,7 +57,7 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o",
     "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l", "ß": "ss",
 }
-# Phrases in which a term is harmless.
+# Phrases in which a term is harmless; further ones are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof")
 # fmt: on
 
@@ -126,31 +130,36 @@ def weigh(automaton, text: bytes | None) -> float:
     if not folded or not len(automaton):
         return 0.0
     hits = [(end - size, end, weight) for end, (size, weight) in automaton.iter(" " + " ".join(folded) + " ")]
-    harmless = [(a, b) for a, b, w in hits if w is None]
-    total, k = 0.0, 0
+    harmless = sorted((a, b) for a, b, w in hits if w is None)
+    starts, reach = [a for a, _ in harmless], list(accumulate((b for _, b in harmless), max))
+    total = 0.0
     for a, b, w in hits:
-        while k < len(harmless) and harmless[k][1] < a:
-            k += 1
-        if w is not None and not any(x <= a and b <= y for x, y in harmless[k : k + 4]):
+        before = bisect_right(starts, a)
+        if w is not None and not (before and reach[before - 1] >= b):
             total += w
     return total / (1 + math.log1p(len(folded) / LENGTH))
 
 
-def term_counts(labelled: DataFrame) -> DataFrame:
-    """(term, toxic, other): texts of each class that hold a folded word; counted in the task before any shuffle."""
+def class_counts(labelled: DataFrame, found_in: Callable[[list[str]], Iterable[str]]) -> DataFrame:
+    """(term, toxic, other): texts of each class in whose folded words found_in finds a term; counted in the task before any shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_words()
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                for w in {w for w in folded_words(text) if len(w) > 2}:
+                for w in set(found_in(folded_words(text))):
                     seen.setdefault(w, [0, 0])[0 if toxic else 1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["term", "toxic", "other"])
 
     return labelled.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def phrases_with(terms: set[str]) -> Callable[[list[str]], Iterator[str]]:
+    """Finds the pairs of neighbouring words of which one is a term."""
+    return lambda words: (f"{a} {b}" for a, b in zip(words, words[1:]) if a and b and (a in terms or b in terms))  # noqa: B905
+
+
 def values_of(docs: DataFrame, model: Model, label: str) -> DataFrame:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_words()
@@ -176,17 +185,18 @@ def logistic_fit(value: np.ndarray, label: np.ndarray, penalty: float = 1.0) ->
 
 def learn(labelled: DataFrame) -> Model:
     """A model from the training rows that labelled_rows() gives."""
-    first = labelled.groupBy("beginning", "toxic").agg(F.min("row").alias("row")).select("row")
-    rows = labelled.join(F.broadcast(first), "row", "left_semi").select("text", "toxic")
+    first = labelled.groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = labelled.join(first, "doc_id", "left_semi").select("text", "toxic")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = size.get(1, 0), size.get(0, 0)
     if not toxic or not other:
         return Model()
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    weight = F.log(a / (toxic + 1)) - F.log(b / (other + 1))
-    least = max(MIN_COUNT, math.ceil(MIN_SHARE * toxic))
-    terms = term_counts(rows).filter(F.col("toxic") >= least).withColumn("weight", weight).filter(F.col("weight") - 1.64 * F.sqrt(1 / a + 1 / b) >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MOST_TERMS)
+    weight, error = F.log(a / (toxic + 1)) - F.log(b / (other + 1)), CERTAIN * F.sqrt(1 / a + 1 / b)
+    terms = class_counts(rows, lambda words: (w for w in words if len(w) > 2)).filter(F.col("toxic") >= MIN_COUNT).withColumn("weight", weight).filter(F.col("weight") - error >= MIN_WEIGHT)
     model = Model({r["term"]: float(r["weight"]) for r in terms.collect()})
+    harmless = class_counts(rows, phrases_with(set(model.weights))).filter(F.col("other") >= MIN_COUNT).filter(F.log(b / a) - error > 0)
+    model.exceptions = (*EXCEPTIONS, *sorted(r["term"] for r in harmless.collect()))
     fitted = values_of(rows, model, "toxic").toPandas()
     model.bias, model.slope = logistic_fit(fitted["value"].to_numpy(), fitted["label"].to_numpy().astype(float))
     return model
@@ -196,16 +206,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def copy_key(text: Column) -> Column:
+    """The smallest hash of a text's shingles: equal texts share it, near copies mostly do."""
+    words = F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+")
+    return let(words, lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """row, text, toxic, beginning of at most so many labelled documents that aren't held out, as a table.
+    """doc_id, text, toxic, copy of at most so many labelled documents that aren't held out, one row an id, as a table.
 
     The labels are chosen before any text is read; being so few, they travel to the texts.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    beginning = F.xxhash64(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+", BEGINNING + 1), 1, BEGINNING))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return written(found.select(F.monotonically_increasing_id().alias("row"), "text", "toxic", beginning.alias("beginning")), "labelled")
+    single = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"), "toxic")
+    return written(single.withColumn("copy", copy_key(F.col("text"))), "labelled")
 
 
 def scorer(model: Model):
