@@ -2,11 +2,14 @@
 
 mux() stores a payload as uncompressed 8-bit RGB frames of 8 x 8 pixels (192 bytes a sample, codec "raw ")
 in one video track. describe() knows nothing of mux(): it walks the nested boxes of any ISO container, decodes
-the sample tables (stts, stsc, stsz or stz2, stco or co64, stss) and gives codec, duration and the byte ranges
-of keyframes; samples are read by those ranges and never decoded.
-
-Defined results: a null payload is empty; a container without a movie, or one cut short, has no tracks
-and its feature says so; repeated rows are handled one by one; an empty table gives an empty table.
+the sample tables (stts, stsc, stsz or stz2, stco or co64, stss) and the runs of fragments (tfhd, tfdt, trun, with
+trex defaults) and gives codec, duration and the byte ranges of keyframes; samples are read by those ranges and
+never decoded.
+
+Defined results: a null payload is empty; a container without a movie has no tracks; of a table that is cut short, or
+counts more than its box or the file can hold, what is there is used; boxes that leave their parent, or lie deeper than
+DEEPEST, aren't opened; samples before the file's start are left out; any bytes give a result. Repeated rows are handled one
+by one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ SAMPLES_A_CHUNK = 16
 KEYFRAME_EVERY = 8
 TIMESCALE, FRAME_TICKS = 25_000, 1_000
 #: Boxes that hold boxes; stsd and the like hold tables.
+DEEPEST = 32
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -55,13 +59,15 @@ def padded(text: bytes) -> bytes:
     return text + PAD * (SAMPLE - len(text) if not text else -len(text) % SAMPLE)
 
 
-def mux(payload: bytes) -> bytes:
-    """A container of one video track whose samples are the payload's frames, in order."""
+def mux(payload: bytes, frame_ticks: int = FRAME_TICKS) -> bytes:
+    """A container of one video track whose samples are the payload's frames, in order; headers are 64 bits wide where the duration asks."""
     frames = len(payload) // SAMPLE
     chunks, rest = divmod(frames, SAMPLES_A_CHUNK)
     runs = ([(1, SAMPLES_A_CHUNK, 1)] if chunks else []) + ([(chunks + 1, rest, 1)] if rest else [])
     starts = np.arange(chunks + bool(rest), dtype=np.int64) * SAMPLES_A_CHUNK * SAMPLE
-    ticks = frames * FRAME_TICKS
+    ticks = frames * frame_ticks
+    long = ticks >= 1 << 32
+    head_of = lambda narrow, wide, *values: (b"\1\0\0\0" if long else bytes(4)) + struct.pack(wide if long else narrow, *values)
     entry = box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHIIIH", SIDE, SIDE, 0x480000, 0x480000, 0, 1), bytes(32), struct.pack(">Hh", 24, -1))
 
     def movie(base: int) -> bytes:
@@ -70,7 +76,7 @@ def mux(payload: bytes) -> bytes:
         tables = box(
             b"stbl",
             full(b"stsd", struct.pack(">I", 1), entry),
-            full(b"stts", struct.pack(">III", 1, frames, FRAME_TICKS)),
+            full(b"stts", struct.pack(">III", 1, frames, frame_ticks)),
             full(b"stss", struct.pack(">I", -(-frames // KEYFRAME_EVERY)), table(np.arange(1, frames + 1, KEYFRAME_EVERY))),
             full(b"stsc", struct.pack(">I", len(runs)), table(runs)),
             full(b"stsz", struct.pack(">II", SAMPLE, frames)),
@@ -78,12 +84,13 @@ def mux(payload: bytes) -> bytes:
         )
         media = box(
             b"mdia",
-            full(b"mdhd", struct.pack(">IIIIHH", 0, 0, TIMESCALE, ticks, 0x55C4, 0)),
+            box(b"mdhd", head_of(">IIIIHH", ">QQIQHH", 0, 0, TIMESCALE, ticks, 0x55C4, 0)),
             full(b"hdlr", bytes(4), b"vide", bytes(12), b"frames\0"),
             box(b"minf", full(b"vmhd", bytes(8), flags=1), box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1))), tables),
         )
-        head = full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, ticks), bytes(8), bytes(8), MATRIX, struct.pack(">II", SIDE << 16, SIDE << 16), flags=3)
-        top = full(b"mvhd", struct.pack(">IIII", 0, 0, TIMESCALE, ticks), struct.pack(">IH", 0x10000, 0x100), bytes(10), MATRIX, bytes(24), struct.pack(">I", 2))
+        track = head_of(">IIIII", ">QQIIQ", 0, 0, 1, 0, ticks)
+        head = box(b"tkhd", track[:3], b"\3", track[4:], bytes(8), bytes(8), MATRIX, struct.pack(">II", SIDE << 16, SIDE << 16))
+        top = box(b"mvhd", head_of(">IIII", ">QQIQ", 0, 0, TIMESCALE, ticks), struct.pack(">IH", 0x10000, 0x100), bytes(10), MATRIX, bytes(24), struct.pack(">I", 2))
         return box(b"moov", top, box(b"trak", head, media))
 
     first = box(b"ftyp", b"qt  ", struct.pack(">I", 0), b"qt  ")
@@ -103,6 +110,7 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    end: int = 0  # of its fragments so far
 
     def keyframes(self) -> np.ndarray:
         """Rows (time, offset, size) of the keyframes."""
@@ -126,78 +134,163 @@ def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[
             continue
         stack.append((path, at + size, stop))
         yield (*path, kind), at + head, at + size
-        if kind in NESTED:
+        if kind in NESTED and len(path) < DEEPEST:
             stack.append(((*path, kind), at + head, at + size))
 
 
 def numbers(data: bytes, start: int, end: int, count: int, kind: str) -> np.ndarray:
     """count numbers of a table, or as many as the box holds."""
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(data, kind, max(0, min(count, (end - start) // width)), start).astype(np.int64)
+    held = max(0, min(count, (end - start) // np.dtype(kind).itemsize))
+    return np.frombuffer(data, kind, held, start).astype(np.int64) if held else np.zeros(0, np.int64)
+
+
+def rows_of(data: bytes, start: int, end: int, count: int, width: int) -> np.ndarray:
+    """Whole rows of a table of 32-bit numbers."""
+    found = numbers(data, start, end, count * width, ">u4")
+    return found[: len(found) // width * width].reshape(-1, width)
+
+
+def repeated(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Each value so many times, up to most in all."""
+    ends = np.minimum(np.cumsum(np.clip(counts, 0, most)), most)
+    return np.repeat(values, np.diff(ends, prepend=0))
+
+
+def u4(data: bytes, at: int, end: int) -> int:
+    """The 32-bit number at a place of a box, 0 beyond its end."""
+    return struct.unpack_from(">I", data, at)[0] if at + 4 <= end else 0
+
+
+def laid_out(track: Track, raw: dict[bytes, np.ndarray]) -> None:
+    """Sets a track's samples from its tables."""
+    none = np.zeros(0, np.int64)
+    sizes, chunks, runs, stts = raw.get(b"size", none), raw.get(b"chunk", none), raw.get(b"stsc", np.zeros((0, 3), np.int64)), raw.get(b"stts", np.zeros((0, 2), np.int64))
+    last = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else none
+    each = repeated(runs[:, 1], last - runs[:, 0], len(chunks))
+    of = repeated(np.arange(len(each)), each, len(sizes))
+    times = np.concatenate([[0], np.cumsum(repeated(stts[:, 1], stts[:, 0], len(sizes)))])
+    count = min(len(of), len(times))
+    of, sizes, times = of[:count], sizes[:count], times[:count]
+    before = np.cumsum(sizes) - sizes
+    track.offsets, track.sizes, track.times = chunks[of] + before - before[np.searchsorted(of, of, "left")], sizes, times
+    keys = raw[b"stss"] - 1 if b"stss" in raw else np.arange(count)
+    track.keys = keys[(keys >= 0) & (keys < count)]
+
+
+def within(track: Track) -> Track:
+    """The track without samples before the file's start."""
+    there = track.offsets >= 0
+    if not there.all():
+        place = np.cumsum(there) - 1
+        track.keys = place[track.keys[there[track.keys]]]
+        track.offsets, track.sizes, track.times = track.offsets[there], track.sizes[there], track.times[there]
+    return track
+
+
+@dataclass
+class Fragment:
+    """What the boxes of a fragment say of one track."""
+
+    track_id: int
+    base: int
+    duration: int
+    size: int
+    flags: int
+    time: int | None = None
+    next: int = 0
+
+
+def add_run(data: bytes, at: int, end: int, fragment: Fragment, track: Track) -> None:
+    """Appends the samples of a trun box to a track; a keyframe is a sample that isn't marked as depending on others."""
+    flags, count, at = u4(data, at, end) & 0xFFFFFF, u4(data, at + 4, end), at + 8
+    start = fragment.next or fragment.base
+    if flags & 0x1:
+        start, at = fragment.base + (u4(data, at, end) ^ 0x80000000) - 0x80000000, at + 4
+    first = u4(data, at, end) if flags & 0x4 else None
+    at += 4 if flags & 0x4 else 0
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    table = rows_of(data, at, end, count, len(fields)) if fields else np.zeros((min(count, len(data)), 0), np.int64)
+    column = lambda f, default: table[:, fields.index(f)] if f in fields else np.full(len(table), default, np.int64)
+    steps, sizes, marks = column(0x100, fragment.duration), column(0x200, fragment.size), column(0x400, fragment.flags).copy()
+    if first is not None and len(marks):
+        marks[0] = first
+    base = fragment.time if fragment.time is not None else int(track.end)
+    keys = np.flatnonzero(~marks & 0x10000) + len(track.sizes)
+    track.keys = np.concatenate([track.keys, keys])
+    track.offsets = np.concatenate([track.offsets, start + np.cumsum(sizes) - sizes])
+    track.times = np.concatenate([track.times, base + np.cumsum(steps) - steps])
+    track.sizes = np.concatenate([track.sizes, sizes])
+    fragment.next, track.end = start + int(sizes.sum()), base + int(steps.sum())
+    fragment.time = track.end
 
 
 def tracks(data: bytes) -> list[Track]:
-    """The tracks of a container with all their samples."""
+    """The tracks of a container with all their samples, those of fragments after those of the movie."""
     found: list[Track] = []
     raw: dict[bytes, np.ndarray] = {}
-
-    def finish() -> None:
-        if not found or not raw:
-            return
-        t, sizes = found[-1], raw.get(b"size", np.zeros(0, np.int64))
-        chunks, runs = raw.get(b"chunk", np.zeros(0, np.int64)), raw.get(b"stsc", np.zeros((0, 3), np.int64))
-        last = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else np.zeros(0, np.int64)
-        each = np.repeat(runs[:, 1], np.maximum(last - runs[:, 0], 0))[: len(chunks)]
-        of = np.repeat(np.arange(len(each)), each)[: len(sizes)]
-        sizes = sizes[: len(of)]
-        before = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-        opened = np.searchsorted(of, of, "left") if len(of) else of
-        stts = raw.get(b"stts", np.zeros((0, 2), np.int64))
-        steps = np.repeat(stts[:, 1], stts[:, 0])[: len(sizes)]
-        times = np.concatenate([[0], np.cumsum(steps)])[: len(sizes)]
-        count = min(len(sizes), len(times))
-        t.offsets, t.sizes, t.times = (chunks[of] + before - before[opened])[:count], sizes[:count], times[:count]
-        keys = raw[b"stss"] - 1 if b"stss" in raw else np.arange(count)
-        t.keys = keys[(keys >= 0) & (keys < count)]
-        raw.clear()
-
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragment, moof, data_end = None, 0, 0
     for path, at, end in walk(data):
         kind = path[-1]
         long = end > at and data[at] == 1
-        u4 = lambda k: struct.unpack_from(">I", data, at + k)[0] if at + k + 4 <= end else 0  # noqa: B023, E731
         if kind == b"trak":
-            finish()
+            if found:
+                laid_out(found[-1], raw)
             found.append(Track())
+            raw = {}
+        elif kind == b"trex":
+            defaults[u4(data, at + 4, end)] = (u4(data, at + 12, end), u4(data, at + 16, end), u4(data, at + 20, end))
+        elif kind == b"moof":
+            if found and raw:
+                laid_out(found[-1], raw)
+                raw = {}
+            moof = data_end = at - (16 if data[max(0, at - 16) : at - 8] == b"\0\0\0\1moof" else 8)
+        elif kind == b"tfhd" and b"moof" in path:
+            flags, name, place = u4(data, at, end) & 0xFFFFFF, u4(data, at + 4, end), at + 8
+            values = dict(zip((0x8, 0x10, 0x20), defaults.get(name, (0, 0, 0)), strict=True))
+            base = moof if flags & 0x20000 else data_end
+            if flags & 0x1:
+                base, place = u4(data, place, end) << 32 | u4(data, place + 4, end), place + 8
+            place += 4 if flags & 0x2 else 0
+            for bit in values:
+                if flags & bit:
+                    values[bit], place = u4(data, place, end), place + 4
+            fragment = Fragment(name, base, *values.values())
+        elif kind == b"tfdt" and fragment:
+            fragment.time = u4(data, at + 4, end) << 32 | u4(data, at + 8, end) if long else u4(data, at + 4, end)
+        elif kind == b"trun" and fragment:
+            for track in (t for t in found if t.track_id == fragment.track_id):
+                add_run(data, at, end, fragment, track)
+                data_end = fragment.next
         elif not found or b"trak" not in path:
             continue
         elif kind == b"tkhd":
-            found[-1].track_id = u4(20 if long else 12)
+            found[-1].track_id = u4(data, at + (20 if long else 12), end)
         elif kind == b"mdhd":
-            found[-1].timescale = u4(20 if long else 12)
-            found[-1].duration = (u4(24) << 32 | u4(28)) if long else u4(16)
+            found[-1].timescale = u4(data, at + (20 if long else 12), end)
+            found[-1].duration = u4(data, at + 24, end) << 32 | u4(data, at + 28, end) if long else u4(data, at + 16, end)
         elif kind == b"hdlr":
-            found[-1].handler = data[at + 8 : at + 12].decode("latin-1")
+            found[-1].handler = data[at + 8 : min(end, at + 12)].decode("latin-1")
         elif kind == b"stsd":
-            found[-1].codec = data[at + 12 : at + 16].decode("latin-1")
-            raw.setdefault(b"stsd", np.zeros(0))
-        elif kind == b"stts":
-            raw[b"stts"] = numbers(data, at + 8, end, 2 * u4(4), ">u4").reshape(-1, 2)
-        elif kind == b"stsc":
-            raw[b"stsc"] = numbers(data, at + 8, end, 3 * u4(4), ">u4").reshape(-1, 3)
+            found[-1].codec = data[at + 12 : min(end, at + 16)].decode("latin-1")
+        elif kind in (b"stts", b"stsc"):
+            raw[kind] = rows_of(data, at + 8, end, u4(data, at + 4, end), 2 if kind == b"stts" else 3)
         elif kind == b"stss":
-            raw[b"stss"] = numbers(data, at + 8, end, u4(4), ">u4")
+            raw[kind] = numbers(data, at + 8, end, u4(data, at + 4, end), ">u4")
         elif kind == b"stsz":
-            raw[b"size"] = np.full(min(u4(8), len(data)), u4(4), np.int64) if u4(4) else numbers(data, at + 12, end, u4(8), ">u4")
+            size, count = u4(data, at + 4, end), u4(data, at + 8, end)
+            raw[b"size"] = np.full(min(count, len(data)), size, np.int64) if size else numbers(data, at + 12, end, count, ">u4")
         elif kind == b"stz2":
-            bits = data[at + 7]
-            values = numbers(data, at + 12, end, -(-u4(8) // 2) if bits == 4 else u4(8), ">u2" if bits == 16 else "u1")
-            raw[b"size"] = np.stack([values >> 4, values & 15], 1).ravel()[: u4(8)] if bits == 4 else values
-        elif kind == b"stco":
-            raw[b"chunk"] = numbers(data, at + 8, end, u4(4), ">u4")
-        elif kind == b"co64":
-            raw[b"chunk"] = numbers(data, at + 8, end, u4(4), ">u8")
-    finish()
-    return found
+            bits, count = u4(data, at + 4, end) & 0xFF, u4(data, at + 8, end)
+            values = numbers(data, at + 12, end, -(-count // 2) if bits == 4 else count, ">u2" if bits == 16 else "u1")
+            raw[b"size"] = np.stack([values >> 4, values & 15], 1).ravel()[:count] if bits == 4 else values
+        elif kind in (b"stco", b"co64"):
+            raw[b"chunk"] = numbers(data, at + 8, end, u4(data, at + 4, end), ">u4" if kind == b"stco" else ">i8")
+    if found and raw:
+        laid_out(found[-1], raw)
+    for track in found:
+        track.duration = track.duration or track.end
+    return [within(t) for t in found]
 
 
 def samples(data: bytes, track: Track) -> bytes:
