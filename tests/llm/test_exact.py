@@ -202,6 +202,58 @@ def test_matches_and_exceptions():
     assert [round(weigh(t), 6) for t in ("put it in the trash can now", "you trash", "an idiot idiot tr4sh", "trashy idiots", "trash can trash")] == [0, 3, 7, 0, 3]
 
 
+def test_nested_exceptions():
+    phrases = tuple(f"{w} trash" for w in "abcdefg") + ("trash a", "a trash b trash c trash")
+    a = toxicity.Model({"trash": 3.0}, exceptions=phrases).automaton()
+    assert toxicity.weigh(a, b"a trash b trash c trash d trash e trash f trash g trash") == 0
+    assert toxicity.weigh(a, b"z trash") > 0
+
+
+def test_phrases_are_learned(spark):
+    words = [f"w{k}" for k in range(400)]
+    text = lambda d, *extra: " ".join([*(words[(7 * d + 3 * j) % 400] for j in range(12)), *extra])
+    rows = [(d, text(d, "you", f"x{d}x", "blorg"), 1) for d in range(60)] + [(d, text(d, "a", "blorg", "plant", "grows"), 0) for d in range(100, 115)] + [(d, text(d), 0) for d in range(200, 600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(toxicity.labelled_rows(docs, labels))
+    assert "blorg" in model.weights and "blorg plant" in model.exceptions and "you blorg" not in model.exceptions
+    automaton = model.automaton()
+    assert toxicity.weigh(automaton, b"the blorg plant") == 0 < toxicity.weigh(automaton, b"the blorg")
+
+
+def test_toxicity_against_brute_force(spark, docs, texts):
+    """Counts, weights, fit and scores, made again with lists and dictionaries."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    copy = {r.doc_id: r.copy for r in docs.select("doc_id", toxicity.copy_key(docs.text).alias("copy")).collect()}
+    folded = {d: [toxicity.fold(w) for w in t.encode().split()] for d, t in texts.items()}
+    first = {}
+    for d in sorted(texts):
+        if labels.get(d) is not None and not held(d):
+            first.setdefault((copy[d], labels[d]), d)
+    train = [(d, labels[d]) for d in first.values()]
+    sizes = [sum(t == k for _, t in train) for k in (0, 1)]
+
+    def log_odds(found):
+        n = collections.defaultdict(lambda: [0, 0])
+        for d, t in train:
+            for w in set(found(folded[d])):
+                n[w][t] += 1
+        return {w: (o, t, math.log((t + 0.5) / (sizes[1] + 1)) - math.log((o + 0.5) / (sizes[0] + 1)), 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))) for w, (o, t) in n.items()}
+
+    weights = {w: v for w, (_, t, v, e) in log_odds(lambda ws: [w for w in ws if len(w) > 2]).items() if t >= 4 and v - e >= 1}
+    pairs = log_odds(lambda ws: [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False) if a and b and (a in weights or b in weights)])
+    harmless = {tuple(p.split()) for p, (o, t, _, e) in pairs.items() if o >= 4 and math.log((o + 0.5) / (t + 0.5)) - e > 0} | {tuple(p.split()) for p in toxicity.EXCEPTIONS}
+
+    def value(words):
+        total = sum(weights[w] for k, w in enumerate(words) if w in weights and not (tuple(words[k : k + 2]) in harmless or (k and tuple(words[k - 1 : k + 1]) in harmless)))
+        return total / (1 + math.log1p(len(words) / toxicity.LENGTH))
+
+    bias, slope = toxicity.logistic_fit(np.array([value(folded[d]) for d, _ in train]), np.array([float(t) for _, t in train]))
+    for r in queries.op7_toxicity(spark, SF).collect():
+        want = 1 / (1 + math.exp(-bias - slope * value(folded[r.doc_id])))
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == (want >= 0.3) and r.held_out == held(r.doc_id)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.judge(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
@@ -214,7 +266,7 @@ def brute_lattice(pieces, word):
     word = lattice_lm.MARK + word
     a = [0.0] + [-math.inf] * len(word)
     for j in range(1, len(word) + 1):
-        ways = [a[i] + pieces[word[i:j]] for i in range(max(0, j - lattice_lm.LONGEST), j) if word[i:j] in pieces]
+        ways = [a[i] + pieces[word[i:j]] for i in range(j) if word[i:j] in pieces]
         if word[j - 1] not in pieces:
             ways.append(a[j - 1] + len(word[j - 1].encode()) * math.log(lattice_lm.BYTES_MASS / 256))
         a[j] = float(np.logaddexp.reduce(ways)) if ways else -math.inf
@@ -223,12 +275,59 @@ def brute_lattice(pieces, word):
 
 def test_lattice_sums_all_segmentations():
     pieces, logs = lattice_lm.vocabulary()
-    words = ["the", "thntionth", "ciónasiell", "a", "鿿x", "", "hello,world", "réeuxç", "x" * 40]
+    words = ["the", "thntionth", "ciónasiell", "a", "鿿x", "", "hello,world", "réeuxç", "x" * 40, "internationaldistributionprofessional"]
     got = lattice_lm.Lattice(pieces, logs).score(words)
     assert np.isfinite(got).all()
     assert got == pytest.approx([brute_lattice(dict(zip(pieces, logs, strict=True)), w) for w in words], rel=1e-9)
 
 
+def test_strides_change_nothing(monkeypatch):
+    pieces, logs = lattice_lm.vocabulary()
+    model, words = lattice_lm.Lattice(pieces, logs), ["internationaldistribution" * 9, "x" * 225]
+    marked = [lattice_lm.MARK + w for w in words]
+    score, n = model.score(words), model.expect(marked, np.array([1.0, 2.0]))
+    monkeypatch.setattr(lattice_lm, "STRIDE", 7)
+    assert model.score(words) == pytest.approx(score, rel=1e-12) and model.expect(marked, np.array([1.0, 2.0])) == pytest.approx(n)
+
+
+def test_two_vocabularies_of_one_beginning():
+    names = [f"p{k}" for k in range(70)]
+    a, b = ([*names, lattice_lm.MARK + c] for c in "ab")
+    assert lattice_lm.lattice(a, np.zeros(71)).score(["a"])[0] == 0 and lattice_lm.lattice(b, np.zeros(71)).score(["a"])[0] < 0
+
+
+def test_scores_against_brute_force(spark):
+    """One round of expected counts over all segmentations, then the marginals of all documents."""
+    texts = {d: t for d, t in enumerate(["the cat sat", "The internationalisation of cats", "", None, "zq鿿 the", "the the the sat", "a b", "unseen distribution"])}
+    words = {d: (t or "").encode().translate(LOWER_BYTES).decode().split() for d, t in texts.items()}
+    train = [d for d in texts if zlib.crc32(str(d).encode()) % 5 != 1]
+    pieces = dict(zip(*lattice_lm.vocabulary(), strict=True))
+
+    def ways(word):
+        """(arcs, log) of all segmentations, by their ends."""
+        at = {0: [((), 0.0)]}
+        for j in range(1, len(word) + 1):
+            at[j] = [((*arcs, word[i:j]), log + pieces[word[i:j]]) for i in range(j) if word[i:j] in pieces for arcs, log in at[i]]
+            if word[j - 1] not in pieces:
+                at[j] += [(arcs, log + len(word[j - 1].encode()) * math.log(lattice_lm.BYTES_MASS / 256)) for arcs, log in at[j - 1]]
+        return at[len(word)]
+
+    n = dict.fromkeys(pieces, lattice_lm.PSEUDO)
+    for word, often in collections.Counter(w for d in train for w in words[d]).items():
+        found = ways(lattice_lm.MARK + word)
+        whole = float(np.logaddexp.reduce([log for _, log in found]))
+        for arcs, log in found:
+            for piece in arcs:
+                n[piece] += often * math.exp(log - whole)
+    total = sum(n.values())
+    end = (len(train) + 0.5) / (total + len(train) + 1)
+    pieces = {p: math.log(c / total) + math.log1p(-lattice_lm.BYTES_MASS) + math.log1p(-end) for p, c in n.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lattice_lm.score_documents(frame, rounds=1).collect():
+        want = sum(float(np.logaddexp.reduce([log for _, log in ways(lattice_lm.MARK + w)])) for w in words[r.doc_id]) + math.log(end)
+        assert r.score == pytest.approx(want / math.log(10), rel=1e-9)
+
+
 def test_expected_counts():
     pieces, logs = ["▁a", "b", "ab", "▁ab"], np.log([0.2, 0.3, 0.1, 0.4])
     n = lattice_lm.Lattice(pieces, logs).expect(["▁ab"], np.array([2.0]))
@@ -301,18 +400,11 @@ def test_group_of_near_copies(spark):
     assert {r.doc_id for r in neardup.one_of_each_stage(frame).collect()} == set(want.values())
 
 
-@pytest.mark.parametrize("first", [1, 8])
-def test_small_units_and_several_rounds(spark, monkeypatch, first):
-    """Buckets cut into blocks and pairs proposed one by one give the same groups."""
+def test_buckets_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup, "GROWTH", 2)
-    frame, texts = near_copies(spark, 120)
+    frame, texts = near_copies(spark)
     want = brute_components(sets(texts))
-    signed = neardup.signatures(frame)
-    classes = signed.groupBy("sequence").agg(neardup.F.min_by(neardup.F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("c")).select("sequence", "c.*").persist()
-    got = {r.node: r.component for r in neardup.linked_groups(frame, classes, first=first).collect()}
-    same = {r.doc_id: r.sequence for r in classes.collect()}
-    assert {d: got.get(d, d) for d in same} == {d: want[d] for d in same}
+    assert {r.doc_id: r.component_id for r in neardup.classify(frame).collect()} == want
 
 
 def test_odd_sketches_estimate():
