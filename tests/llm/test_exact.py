@@ -91,6 +91,14 @@ def test_token_files(docs, texts, whole):
     assert len(got) == len(texts)
 
 
+def test_ties_lie_in_one_order(spark, whole, tmp_path):
+    rows = [(5, "b c"), (5, "a"), (None, "z"), (None, "y y"), (5, None), (2, "q"), (5, "a")]
+    laid = lambda rows, name: token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder=f"file://{tmp_path}/{name}").orderBy("start").collect()
+    first = laid(rows, "a")
+    assert first == laid(rows[::-1], "b")
+    assert [r.doc_id for r in first] == [None, None, 2, 5, 5, 5, 5] and sum(r.n_tokens for r in first) == sum(len(whole(t or "")) for _, t in rows)
+
+
 @pytest.mark.parametrize("run", [20_000, 1 << 21])
 def test_packing(docs, texts, whole, run):
     pieces = packing.pack(docs, run_tokens=run).toPandas()
@@ -101,7 +109,14 @@ def test_packing(docs, texts, whole, run):
         assert g.start.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() == len(ids[d]) == g.doc_tokens.iloc[0]
     for _, g in pieces.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
-        assert g.length.sum() == g.tier.iloc[0] and g.length.sum().bit_count() == 1 and g.length.sum() <= 2048
+        assert g.length.sum() == g.tier.iloc[0] and g.step_id.nunique() == 1 and g.length.sum().bit_count() == 1 and g.length.sum() <= 2048
+
+
+def test_steps_balance(docs):
+    """All steps of a run but its last hold the same number of tokens."""
+    pieces = packing.pack(docs.coalesce(1), step_tokens=4 * 2048).toPandas()
+    steps = pieces.groupby("step_id").length.sum()
+    assert len(steps) > 10 and (steps.iloc[:-1] == 4 * 2048).all() and 0 < steps.iloc[-1] <= 4 * 2048
 
 
 # PII.
@@ -170,7 +185,7 @@ def test_repeated_words(spark):
 # Mixing.
 def test_water_filling(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 500), ("d", 0)]
-    frame = spark.createDataFrame([(False, s, n) for s, n in sizes], "is_null boolean, source string, source_size long")
+    frame = spark.createDataFrame([(False, s, n) for s, n in sizes], "is_null boolean, source string, source_size long").repartition(3)
     got = {r.source: r.target for r in mixing.targets(frame).collect()}
     weight, total = {"a": 3, "b": 1, "c": 2, "d": 3}, 1.5 * 1510
     want, stopped = {}, set()
@@ -185,6 +200,12 @@ def test_water_filling(spark):
     assert got == pytest.approx(want)
 
 
+def test_one_id_for_all(spark):
+    frame = spark.createDataFrame([(None, "a", " ".join(["w"] * 40 + [f"x{k}"])) for k in range(1500)], "doc_id long, source string, text string")
+    mixed = mixing.mix_documents(frame, rows_per_cell=64).toPandas()
+    assert mixed.taken.sum() == pytest.approx(1.5 * 1500 * 41, rel=0.01) and set(mixed.copies) == {1, 2}
+
+
 def test_mix_is_near_and_stable(docs):
     a, b = (mixing.mix_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True) for _ in range(2))
     assert a.equals(b) and (a.taken <= 2 * a["size"]).all()
