@@ -66,3 +66,42 @@ def changed(new: DataFrame, old: DataFrame) -> DataFrame:
 def find(vertices: DataFrame, inside: Column, threshold: int = 0) -> DataFrame:
     """neuron_id, n of the members with more than threshold vertices in a region."""
     return vertices.groupBy(ID).agg(F.count_if(inside).alias("n")).filter(F.col("n") > threshold)
+
+
+def assign(vertices: DataFrame, members: DataFrame) -> DataFrame:
+    """The collection with members set: those of a name it has are replaced, the others are added."""
+    return setdiff(vertices, members).unionByName(members, allowMissingColumns=True)
+
+
+def assign_field(metadata: DataFrame, field: str, values: DataFrame) -> DataFrame:
+    """Metadata with a field set where values (neuron_id, value) has one; elsewhere it stays, or is null if it is new."""
+    old = F.col(field) if field in metadata.columns else F.lit(None)
+    return metadata.join(values.select(ID, F.col("value").alias("_set"), F.lit(True).alias("_there")), ID, "left").withColumn(field, F.when(F.col("_there"), F.col("_set")).otherwise(old)).drop("_set", "_there")
+
+
+def subset_by(vertices: DataFrame, test: Column, invert: bool = False) -> DataFrame:
+    """The members for which an aggregate over their own vertices holds; null counts as false."""
+    held = vertices.groupBy(ID).agg(F.coalesce(test, F.lit(False)).alias("held"))
+    return vertices.join(held.filter(~F.col("held") if invert else F.col("held")).select(ID), ID, "left_semi")
+
+
+def apply_pairs(a: DataFrame, b: DataFrame, value_a: Column, value_b: Column, join) -> DataFrame:
+    """neuron_id, value: join(value_a, value_b) of the aggregates of members that both collections have."""
+    sides = [v.groupBy(ID).agg(c.alias(n)) for v, c, n in ((a, value_a, "va"), (b, value_b, "vb"))]
+    return sides[0].join(sides[1], ID).select(ID, join(F.col("va"), F.col("vb")).alias("value"))
+
+
+def unused_levels(metadata: DataFrame, levels: DataFrame, field: str) -> DataFrame:
+    """levels (value) without those that no member has."""
+    return levels.join(metadata.select(F.col(field).alias("value")).distinct(), "value", "left_semi")
+
+
+def differing(a: DataFrame, b: DataFrame, fields: list[str], tolerance: float = 1.5e-8) -> DataFrame:
+    """neuron_id of the members that aren't equal: other points or parents, or a field whose mean relative difference exceeds a tolerance."""
+    named = b.select(ID, "point_no", F.col("parent").alias("parent_b"), *(F.col(f).alias(f"{f}_b") for f in fields))
+    both = a.select(ID, "point_no", "parent", *fields).join(named, [ID, "point_no"], "full")
+    gap = [F.sum(F.abs(F.col(f) - F.col(f"{f}_b"))) > tolerance * F.greatest(F.sum(F.abs(F.col(f))), F.lit(tolerance)) for f in fields]
+    off = F.count_if(~F.col("parent").eqNullSafe(F.col("parent_b"))) > 0
+    for g in gap:
+        off = off | F.coalesce(g, F.lit(False))
+    return both.groupBy(ID).agg(off.alias("off")).filter("off").select(ID)

@@ -56,6 +56,17 @@ def distal_to(vertices: DataFrame, at: DataFrame) -> DataFrame:
     return reached.join(named, KEY, "left_semi").select("neuron_id", F.col("node").alias("point_no"))
 
 
+def reroot_each(vertices: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each entry (neuron_id, point_no, outer) becomes the child of outer; parents are turned round on the way to its old root.
+
+    A tree may have several entries, one a fragment at most; all other parents stay.
+    """
+    way = ancestors_of(vertices, entries)
+    turned = vertices.select("neuron_id", F.col("point_no").alias("below"), F.col("parent").alias("point_no")).join(way.select("neuron_id", F.col("point_no").alias("below")), ["neuron_id", "below"], "left_semi")
+    found = vertices.join(way.withColumn("on_way", F.lit(True)), KEY, "left").join(turned, KEY, "left").join(entries.select(*KEY, "outer"), KEY, "left")
+    return found.withColumn("parent", F.coalesce("outer", F.when(F.col("on_way"), F.col("below")).otherwise(F.col("parent")))).select(*vertices.columns)
+
+
 def reroot(vertices: DataFrame, at: DataFrame) -> DataFrame:
     """With the vertices named in at (one a tree) as roots: parents are turned round on the way to the old root."""
     way = ancestors_of(vertices, at)
@@ -65,6 +76,12 @@ def reroot(vertices: DataFrame, at: DataFrame) -> DataFrame:
     return found.withColumn("parent", F.when(F.col("on_way"), F.coalesce("below", F.lit(-1))).otherwise(F.col("parent"))).select(*vertices.columns)
 
 
+def reroot_nearest(vertices: DataFrame, x: float, y: float, z: float) -> DataFrame:
+    """With each tree's vertex nearest to a point as its root; ties go to the smaller vertex."""
+    d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) + (F.col("z") - z) * (F.col("z") - z)
+    return reroot(vertices, vertices.groupBy("neuron_id").agg(F.min(F.struct(d2.alias("d2"), "point_no")).alias("m")).select("neuron_id", F.col("m.point_no").alias("point_no")))
+
+
 def prune_twigs(vertices: DataFrame, length: float) -> DataFrame:
     """Without twigs up to a length: a leaf with a branch point within it goes, back to the farthest such branch point.
 

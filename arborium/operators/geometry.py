@@ -15,14 +15,21 @@ AXES = ("x", "y", "z")
 
 
 def arithmetic(points: DataFrame, op: str, values: Sequence[float]) -> DataFrame:
-    """x, y, z (and w with a fourth value) with an operator +, -, *, / and one, three or four values."""
+    """x, y, z (and w with a fourth value) with an operator +, -, *, /, ^ or a comparison and one, three or four values."""
     if len(values) not in (1, 3, 4):
         raise ValueError("one, three or four values are needed")
     by = dict(zip((*AXES, "w"), values if len(values) > 1 else values * 3, strict=False))
-    does = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b}[op]
+    does = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "^": F.pow, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}[op]
     return points.withColumns({c: does(F.col(c), F.lit(float(v))) for c, v in by.items()})
 
 
+def replace_xyz(points: DataFrame, values: DataFrame, key: Sequence[str]) -> DataFrame:
+    """points with the coordinates that values (key, x, y, z) has for them; a point without new ones is an error."""
+    new = values.select(*key, F.struct(*AXES).alias("_new"))
+    given = lambda c: F.when(F.col("_new").isNull(), F.raise_error(F.lit("a point has no new coordinates")).cast("double")).otherwise(F.col(f"_new.{c}"))
+    return points.join(new, list(key), "left").withColumns({c: given(c) for c in AXES}).select(*points.columns)
+
+
 def scale(points: DataFrame, by: str) -> DataFrame:
     """Coordinates less their mean, over their sample standard deviation, within each group."""
     group = W.partitionBy(by)

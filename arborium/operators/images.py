@@ -92,3 +92,22 @@ def label_statistics(voxels: DataFrame, labels: DataFrame, by: str) -> DataFrame
     """by, label, n, mean, low, high of the values under each label that isn't zero."""
     joined = voxels.join(labels.select(by, *CELL, F.col("value").alias("label")).filter("label <> 0"), [by, *CELL])
     return joined.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def all_cells(spark, dims: Sequence[int]) -> DataFrame:
+    """i, j, k of all voxels of a grid, made in parallel from their indices."""
+    index = spark.range(1, dims[0] * dims[1] * dims[2] + 1).withColumnRenamed("id", "index")
+    return index.select(*(v.cast("long").alias(c) for c, v in from_linear(F.col("index"), dims).items()))
+
+
+def material_table(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """id, name, level, n: the materials (id, name, level) of a label grid with their numbers of voxels, 0 for those without."""
+    return names.join(labels.groupBy(F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n")), "level", "left").select("id", "name", "level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def masked_by_name(voxels: DataFrame, mask: DataFrame, by: str, names: DataFrame, wanted: Sequence[str], invert: bool = False) -> DataFrame:
+    """masked() by the names of materials; a name that isn't there is an error."""
+    level = {r["name"]: r["level"] for r in names.filter(F.col("name").isin(*wanted)).collect()}
+    if missing := [w for w in wanted if w not in level]:
+        raise ValueError(f"no such materials: {missing}")
+    return masked(voxels, mask, by, [level[w] for w in wanted], invert)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 AXES = ("x", "y", "z")
+#: Columns and rows of the grid that a mesh's box is cut into, seen along z.
+BINS = 32
+#: A point nearer to a triangle's plane than this share of the coordinates' size, and on the triangle, lies on the surface.
+ON_SURFACE = 1e-9
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -37,26 +42,88 @@ def regions(faces: DataFrame, pattern: str) -> DataFrame:
     return faces.filter(F.col("region").rlike(pattern))
 
 
+def submesh(faces: DataFrame, vertices: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of the regions whose name matches: vertices no triangle uses go, the others are numbered from 1 in their order."""
+    kept = regions(faces, pattern)
+    used = kept.select("mesh_id", F.explode(F.array("v1", "v2", "v3")).alias("vertex")).distinct()
+    numbered = vertices.join(used, ["mesh_id", "vertex"], "left_semi").withColumn("new", F.row_number().over(W.partitionBy("mesh_id").orderBy("vertex")).cast("long"))
+    out = kept
+    for v in ("v1", "v2", "v3"):
+        out = out.join(numbered.select("mesh_id", F.col("vertex").alias(v), F.col("new").alias(f"{v}_new")), ["mesh_id", v]).drop(v).withColumnRenamed(f"{v}_new", v)
+    return out.select(*faces.columns), numbered.withColumn("vertex", F.col("new")).select(*vertices.columns)
+
+
+def combined(faces: DataFrame, vertices: DataFrame, more_faces: DataFrame, more_vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of both, mesh by mesh: the second's vertices and triangles are numbered after the first's."""
+    top = vertices.groupBy("mesh_id").agg(F.max("vertex").alias("top"))
+    last = faces.groupBy("mesh_id").agg(F.max("face").alias("last"))
+    shift = lambda c, by: (F.col(c) + F.coalesce(F.col(by), F.lit(0))).alias(c)
+    later = more_vertices.join(top, "mesh_id", "left").select(*(shift(c, "top") if c == "vertex" else F.col(c) for c in vertices.columns))
+    moved = more_faces.join(top, "mesh_id", "left").join(last, "mesh_id", "left")
+    turned = moved.select(*(shift(c, "last") if c == "face" else shift(c, "top") if c in ("v1", "v2", "v3") else F.col(c) for c in faces.columns))
+    return faces.unionByName(turned), vertices.unionByName(later)
+
+
+def box_mesh(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of boxes (mesh_id, min_x, max_x, min_y, ...): eight corners, two triangles a side, seen outwards."""
+    sides = [(1, 3, 2), (2, 3, 4), (5, 6, 7), (6, 8, 7), (1, 2, 5), (2, 6, 5), (3, 7, 4), (4, 7, 8), (1, 5, 3), (3, 5, 7), (2, 4, 6), (4, 8, 6)]
+    corner = lambda k: F.struct(F.lit(k + 1).cast("long").alias("vertex"), *(F.col(f"{'max' if k >> a & 1 else 'min'}_{c}").alias(c) for a, c in enumerate(AXES)))
+    vertices = boxes.select("mesh_id", F.inline(F.array(*map(corner, range(8)))))
+    face = lambda k, s: F.struct(F.lit("box").alias("region"), F.lit(k).cast("long").alias("face"), *(F.lit(v).cast("long").alias(f"v{n}") for n, v in enumerate(s, 1)))
+    return boxes.select("mesh_id", F.inline(F.array(*(face(k, s) for k, s in enumerate(sides, 1))))), vertices
+
+
 def summary(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """mesh_id, vertices, faces, edges (corners of all faces) and area."""
     area = normals(faces, vertices).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area"))
     return vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertices")).join(area, "mesh_id").select("mesh_id", "vertices", "faces", (3 * F.col("faces")).alias("edges"), "area")
 
 
-def points_inside(points: DataFrame, faces: DataFrame, vertices: DataFrame, by: str = "mesh_id") -> DataFrame:
-    """points (mesh_id, point, x, y, z) with inside: is the point in its closed mesh?
+def points_inside(points: DataFrame, faces: DataFrame, vertices: DataFrame, by: str = "mesh_id", bins: int = BINS) -> DataFrame:
+    """points (mesh_id, point, x, y, z) with inside: does the point lie in its closed mesh, or on its surface?
 
-    A ray along +z crosses the mesh an odd number of times from inside. Points are first held against the mesh's box,
-    then joined with the triangles whose shadow on the xy plane can hold them.
+    A ray along +z crosses the mesh an odd number of times from inside. An edge belongs to the triangle on one side of it
+    only (it counts where one end lies at or below the ray's y and the other above), so a ray through an edge or a corner is
+    counted once. Points outside the mesh's box are out at once; the others meet the triangles that lie over their
+    cell of a grid of bins x bins cells over the box.
     """
     box = vertices.groupBy(by).agg(*(f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))))
-    near = points.join(box, by).filter(" and ".join(f"{c} between lo{c} and hi{c}" for c in AXES)).select(*points.columns)
-    tri = corners(faces, vertices).select(by, "a", "b", "c")
-    side = lambda p, q: (q["x"] - p["x"]) * (F.col("y") - p["y"]) - (q["y"] - p["y"]) * (F.col("x") - p["x"])
+    cell = lambda v, c: F.when(F.col(f"hi{c}") > F.col(f"lo{c}"), F.least(F.lit(bins - 1), F.floor((v - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * bins))).otherwise(0).cast("int")
+    near = points.select(by, "point", *AXES).join(box, by).filter(" and ".join(f"{c} between lo{c} and hi{c}" for c in AXES))
+    near = near.select(by, "point", *AXES, cell(F.col("x"), "x").alias("cx"), cell(F.col("y"), "y").alias("cy"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    s1, s2, s3 = side(a, b), side(b, c), side(c, a)
-    total = s1 + s2 + s3
-    height = (s2 * a["z"] + s3 * b["z"] + s1 * c["z"]) / F.when(total != 0, total)
-    above = (((s1 >= 0) & (s2 >= 0) & (s3 >= 0)) | ((s1 <= 0) & (s2 <= 0) & (s3 <= 0))) & (height > F.col("z"))
-    hits = near.join(tri, by).groupBy(by, "point").agg(F.count_if(above).alias("hits"))
-    return points.join(hits, [by, "point"], "left").withColumn("inside", F.coalesce(F.col("hits") % 2 == 1, F.lit(False))).drop("hits")
+    over = lambda f, k: cell(f(a[k], b[k], c[k]), k)
+    spread = lambda k: F.explode(F.sequence(over(F.least, k), over(F.greatest, k)))
+    tri = corners(faces, vertices).select(by, "a", "b", "c").join(box, by).withColumn("cx", spread("x")).withColumn("cy", spread("y")).select(by, "cx", "cy", "a", "b", "c")
+    x, y, z = (F.col(k) for k in AXES)
+
+    def crosses(p: Column, q: Column) -> Column:
+        """Does the half line from the point towards +x, seen along z, cross the edge p-q?"""
+        at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"])
+        return F.when((p["y"] <= y) != (q["y"] <= y), (x < at).cast("int")).otherwise(0)
+
+    n = cross(minus(b, a), minus(c, a))
+    covers = (crosses(F.least(a, b), F.greatest(a, b)) + crosses(F.least(b, c), F.greatest(b, c)) + crosses(F.least(a, c), F.greatest(a, c))) % 2 == 1
+    gap = n[0] * (x - a["x"]) + n[1] * (y - a["y"]) + n[2] * (z - a["z"])  # times the normal's length: signed distance from the plane
+    length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    scale = sum(F.greatest(*(F.abs(p[k]) for p in (a, b, c))) for k in AXES)
+    above = covers & (n[2] != 0) & F.when(n[2] > 0, gap < 0).otherwise(gap > 0)
+
+    def beside(p: Column, q: Column) -> Column:
+        """On which side of the edge p-q, in the triangle's plane, the point lies: at least 0 inside."""
+        e = cross(minus(q, p), (x - p["x"], y - p["y"], z - p["z"]))
+        return e[0] * n[0] + e[1] * n[1] + e[2] * n[2]
+
+    slack = -ON_SURFACE * scale * length * F.sqrt(length)
+    touches = (length > ON_SURFACE * ON_SURFACE * scale * scale) & (F.abs(gap) <= ON_SURFACE * scale * length) & (beside(a, b) >= slack) & (beside(b, c) >= slack) & (beside(c, a) >= slack)
+    hits = near.join(tri, [by, "cx", "cy"]).groupBy(by, "point").agg(F.count_if(above).alias("hits"), F.max(touches).alias("on"))
+    return points.join(hits, [by, "point"], "left").withColumn("inside", F.coalesce(F.col("on") | (F.col("hits") % 2 == 1), F.lit(False))).drop("hits", "on")
+
+
+def prune_in_volume(trees: DataFrame, faces: DataFrame, vertices: DataFrame, invert: bool = False) -> DataFrame:
+    """Trees (with mesh_id besides neuron_id, point_no) without their vertices outside their mesh, or with invert without those inside."""
+    from .editing import keep
+
+    named = trees.select("mesh_id", F.struct("neuron_id", "point_no").alias("point"), *AXES)
+    found = points_inside(named, faces, vertices).filter(~F.col("inside") if invert else F.col("inside"))
+    return keep(trees, found.select("point.neuron_id", "point.point_no"))

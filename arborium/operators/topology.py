@@ -44,8 +44,8 @@ def jump(links: DataFrame, key: str = "node") -> DataFrame:
     reached, the summed distance and the number of steps.
     """
     state = written(links.select("neuron_id", key, F.coalesce("next", key).alias("last"), F.when(F.col("next").isNull(), 0.0).otherwise(F.col("dist")).alias("dist"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops")), "walk")
-    moved = state.agg(F.sum("hops")).first()[0]
-    while True:
+    moved, n = state.agg(F.sum("hops"), F.count(F.lit(1))).first()
+    for _ in range(max(n, 2).bit_length() + 1):
         far = state.select("neuron_id", F.col(key).alias("last"), F.col("last").alias("l2"), F.col("dist").alias("d2"), F.col("hops").alias("h2"))
         joined = state.join(far, ["neuron_id", "last"], "left")
         state = written(joined.select("neuron_id", key, F.coalesce("l2", "last").alias("last"), (F.col("dist") + F.coalesce("d2", F.lit(0.0))).alias("dist"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops")), "walk")
@@ -53,6 +53,7 @@ def jump(links: DataFrame, key: str = "node") -> DataFrame:
         if after == moved:
             return state
         moved = after
+    raise ValueError("the links run in a circle")
 
 
 def to_root(vertices: DataFrame) -> DataFrame:

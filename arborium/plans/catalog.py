@@ -15,6 +15,7 @@ from ..operators import geometry as G
 from ..operators import images as I
 from ..operators import morphometry as M
 from ..operators import spatial as S
+from ..operators import stitching as H
 from ..operators import surfaces as U
 from ..operators import topology as T
 from . import tables as D
@@ -110,17 +111,25 @@ def segments(v):
     return T.segments(v).select(*T.KEY, "tail")
 
 
-@query("strahler_order", None, "ternary")
+def strahler_sql(deepest: int = 12) -> str:
+    """Orders level by level from the deepest vertices up, for trees of up to so many levels (those of test data have fewer than 8)."""
+    step = lambda d: f"o{d} AS (SELECT t.neuron_id, t.point_no, v.parent, CAST(CASE WHEN c.n IS NULL THEN 1 WHEN c.n > 1 AND c.lo = c.hi THEN c.hi + 1 ELSE c.hi END AS BIGINT) AS strahler FROM t JOIN v ON v.neuron_id = t.neuron_id AND v.point_no = t.point_no LEFT JOIN (SELECT neuron_id, parent, count(*) AS n, min(strahler) AS lo, max(strahler) AS hi FROM o{d + 1} GROUP BY ALL) c ON c.neuron_id = t.neuron_id AND c.parent = t.point_no WHERE t.depth = {d})"
+    last = f"o{deepest} AS (SELECT t.neuron_id, t.point_no, v.parent, CAST(1 AS BIGINT) AS strahler FROM t JOIN v ON v.neuron_id = t.neuron_id AND v.point_no = t.point_no WHERE t.depth = {deepest})"
+    union = " UNION ALL ".join(f"SELECT * FROM o{d}" for d in range(deepest + 1))
+    return f"WITH {EDGE}, {DEPTH}, {', '.join([last, *map(step, range(deepest - 1, -1, -1))])}, o AS ({union})"
+
+
+@query("strahler_order", f"{strahler_sql()} SELECT neuron_id, point_no, strahler FROM o", "ternary")
 def strahler_order(v):
     return T.strahler(v)
 
 
-@query("strahler_heap", None, "heap")
+@query("strahler_heap", f"{strahler_sql()} SELECT neuron_id, point_no, strahler FROM o", "heap")
 def strahler_heap(v):
     return T.strahler(v)
 
 
-@query("prune_strahler", None, "ternary")
+@query("prune_strahler", f"{strahler_sql()} SELECT neuron_id, point_no, parent FROM o WHERE strahler <> 1", "ternary")
 def prune_strahler(v):
     return E.prune_strahler(v, (1,)).select(*T.KEY, "parent")
 
@@ -182,7 +191,41 @@ def stitch_pairs(v):
     return rounded(E.stitch_pairs(side(0), side(1)), "gap").select("pair", "gap")
 
 
+@query("reroot_nearest", f"""WITH {EDGE}, {ANCESTOR}, near AS (SELECT neuron_id, arg_min(point_no, (((x - 50) * (x - 50) + (y - 50) * (y - 50) + (z - 12) * (z - 12)), point_no)) AS point_no FROM v GROUP BY neuron_id),
+ w AS (SELECT a.neuron_id, a.anc FROM a JOIN near n ON n.neuron_id = a.neuron_id AND n.point_no = a.point_no),
+ c AS (SELECT v.neuron_id, v.parent AS anc, v.point_no AS below FROM v JOIN w ON w.neuron_id = v.neuron_id AND w.anc = v.point_no)
+ SELECT v.neuron_id, v.point_no, CASE WHEN w.anc IS NULL THEN v.parent ELSE coalesce(c.below, -1) END AS parent FROM v LEFT JOIN w ON w.neuron_id = v.neuron_id AND w.anc = v.point_no LEFT JOIN c ON c.neuron_id = v.neuron_id AND c.anc = v.point_no""", "caterpillar")
+def reroot_nearest(v):
+    return E.reroot_nearest(v, 50.0, 50.0, 12.0).select(*T.KEY, "parent")
+
+
+@query("stitch_neuron", None, "heap")
+def stitch_neuron(v):
+    side = lambda k: v.filter(F.col("neuron_id") % 2 == k).withColumn("pair", F.floor(F.col("neuron_id") / 2)).drop("neuron_id")
+    return H.stitch_pair(side(0), side(1)).select(*T.KEY, "parent")
+
+
+@query("stitch_mst", None, "forest")
+def stitch_mst(v):
+    return H.stitch(v)[0].select(*T.KEY, "parent")
+
+
 # Coordinates.
+@query("replace_xyz", "SELECT neuron_id, point_no, y AS x, x AS y, z + 1 AS z FROM v", "heap")
+def replace_xyz(v):
+    return G.replace_xyz(v, v.select(*T.KEY, F.col("y").alias("x"), F.col("x").alias("y"), (F.col("z") + 1).alias("z")), T.KEY).select(*T.KEY, *G.AXES)
+
+
+@query("power", "SELECT neuron_id, point_no, round(y ** 2, 4) AS y, round(z ** 3, 4) AS z FROM v", "heap")
+def power(v):
+    return rounded(G.arithmetic(v, "^", (1.0, 2.0, 3.0)).select(*T.KEY, "y", "z"), "y", "z")
+
+
+@query("compare", "SELECT neuron_id, point_no, x > 20 AS x, y > 30 AS y, z > 5 AS z FROM v", "heap")
+def compare(v):
+    return G.arithmetic(v, ">", (20.0, 30.0, 5.0)).select(*T.KEY, *G.AXES)
+
+
 @query("bounding_box", "SELECT neuron_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v GROUP BY neuron_id", "heap")
 def bounding_box(v):
     return G.bounding_box(v, "neuron_id")
@@ -247,7 +290,12 @@ def resample(v):
     return rounded(G.resample(v, 10.0), *G.AXES)
 
 
-@query("smooth_gauss", None, "caterpillar")
+ALONG = f"{SEGMENTS.replace(SEG, SEG + ', ' + DEPTH)}, r AS (SELECT s.neuron_id, s.tail, s.cur AS point_no, t.dist - h.dist AS pos FROM s JOIN sg ON sg.neuron_id = s.neuron_id AND sg.tail = s.tail JOIN t ON t.neuron_id = s.neuron_id AND t.point_no = s.cur JOIN t h ON h.neuron_id = s.neuron_id AND h.point_no = sg.head UNION ALL SELECT neuron_id, tail, head, 0.0::DOUBLE FROM sg), w AS (SELECT r.*, v.x, v.y, v.z, max(pos) OVER (PARTITION BY r.neuron_id, tail) AS total FROM r JOIN v ON v.neuron_id = r.neuron_id AND v.point_no = r.point_no)"
+
+
+@query("smooth_gauss", f"""WITH {ALONG}, m AS (SELECT a.neuron_id, a.tail, a.point_no, any_value(a.pos) AS pos, any_value(a.total) AS total, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.z) AS z, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800)) AS k,
+ sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.x) AS mx, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.y) AS my, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.z) AS mz FROM w a JOIN w b ON b.neuron_id = a.neuron_id AND b.tail = a.tail GROUP BY a.neuron_id, a.tail, a.point_no)
+ SELECT neuron_id, tail, point_no, round(CASE WHEN pos > 0 AND pos < total THEN mx / k ELSE x END, 4) + 0.0 AS x, round(CASE WHEN pos > 0 AND pos < total THEN my / k ELSE y END, 4) + 0.0 AS y, round(CASE WHEN pos > 0 AND pos < total THEN mz / k ELSE z END, 4) + 0.0 AS z FROM m""", "caterpillar")
 def smooth_gauss(v):
     return rounded(G.smooth(v, 20.0), *G.AXES)
 
@@ -293,31 +341,44 @@ def sholl_whole(v):
 ORACLE_SQL["sholl_whole"] = ORACLE_SQL["sholl"].replace("range(1, 11)", "range(1, 101)")
 
 
-PAIR = "a.neuron_id % 15 = 0 AND b.neuron_id % 15 = 7"
+#: All trees are dealt to two collections by parity.
+PAIR = "a.neuron_id % 2 = 0 AND b.neuron_id % 2 = 1"
+OVERLAP = f"SELECT a.neuron_id AS out_id, b.neuron_id AS in_id, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / 2.0)), 4) AS score FROM v a, v b WHERE {PAIR} GROUP BY ALL"
 
 
 def halves(v: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All trees dealt to two collections by parity, for operators on two collections."""
     return v.filter("pmod(neuron_id, 2) = 0"), v.filter("pmod(neuron_id, 2) = 1")
 
 
-@query("overlap_score", f"SELECT a.neuron_id AS out_id, b.neuron_id AS in_id, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / 2.0)), 4) AS score FROM v a, v b WHERE {PAIR} GROUP BY ALL", "heap")
+@query("overlap_score", OVERLAP, "heap")
 def overlap_score(v):
-    """Between the few trees that the SQL names; overlap_score_whole has all trees."""
-    return rounded(M.overlap_score(v.filter("neuron_id % 15 = 0"), v.filter("neuron_id % 15 = 7")), "score")
+    return rounded(M.overlap_score(*halves(v)), "score")
 
 
-@query("overlap_score_whole", None, "heap")
+@query("overlap_score_whole", OVERLAP, "heap")
 def overlap_score_whole(v):
     return rounded(M.overlap_score(*halves(v)), "score")
 
 
-@query("potential_synapses", None, "heap")
+CLAMP = "greatest(0, least(1, {}))".format
+CONTACT = f"""WITH {EDGE}, p AS (SELECT a.neuron_id AS a_id, b.neuron_id AS b_id, a.x - a.px AS ux, a.y - a.py AS uy, a.z - a.pz AS uz, b.x - b.px AS vx, b.y - b.py AS vy, b.z - b.pz AS vz, a.px - b.px AS wx, a.py - b.py AS wy, a.pz - b.pz AS wz
+ FROM e a JOIN e b ON {PAIR} AND abs(a.px - b.px) <= 9 AND abs(a.py - b.py) <= 9 AND abs(a.pz - b.pz) <= 9),
+ q AS (SELECT *, ux * ux + uy * uy + uz * uz AS a, ux * vx + uy * vy + uz * vz AS b, vx * vx + vy * vy + vz * vz AS c, ux * wx + uy * wy + uz * wz AS d, vx * wx + vy * wy + vz * wz AS e0 FROM p),
+ s AS (SELECT *, CASE WHEN a * c - b * b < 1e-6 THEN 0 ELSE {CLAMP("(b * e0 - c * d) / (a * c - b * b)")} END AS sc FROM q),
+ t AS (SELECT *, CASE WHEN c = 0 THEN 0 ELSE (b * sc + e0) / c END AS raw FROM s),
+ k AS (SELECT *, {CLAMP("raw")} AS tc, CASE WHEN raw < 0 THEN CASE WHEN a = 0 THEN 0 ELSE {CLAMP("-d / a")} END WHEN raw > 1 THEN CASE WHEN a = 0 THEN 0 ELSE {CLAMP("(b - d) / a")} END ELSE sc END AS s2 FROM t),
+ g AS (SELECT a_id, b_id, sqrt((wx + s2 * ux - tc * vx) ** 2 + (wy + s2 * uy - tc * vy) ** 2 + (wz + s2 * uz - tc * vz) ** 2) AS gap FROM k)
+ SELECT a_id, b_id, count(*) AS n FROM g WHERE gap <= 4 GROUP BY ALL"""
+
+
+@query("potential_synapses", CONTACT, "heap")
 def potential_synapses(v):
     return M.potential_synapses(*halves(v), 4.0)
 
 
-@query("expected_synapses", None, "heap")
+@query("expected_synapses", f"""WITH {EDGE}, m AS (SELECT neuron_id, len, x - px AS dx, y - py AS dy, z - pz AS dz, (x + px) / 2 AS mx, (y + py) / 2 AS my, (z + pz) / 2 AS mz FROM e WHERE len > 0),
+ p AS (SELECT a.neuron_id AS a_id, b.neuron_id AS b_id, a.len * b.len AS ll, greatest(-1, least(1, (a.dx * b.dx + a.dy * b.dy + a.dz * b.dz) / (a.len * b.len))) AS cosine, (a.mx - b.mx) ** 2 + (a.my - b.my) ** 2 + (a.mz - b.mz) ** 2 AS d2 FROM m a JOIN m b ON {PAIR})
+ SELECT a_id, b_id, round(4 * sum(ll * sqrt(1 - cosine * cosine) * exp(-d2 / 16) / (16 * pi()) ** 1.5), 4) AS expected FROM p GROUP BY ALL""", "heap")
 def expected_synapses(v):
     return rounded(M.expected_synapses(*halves(v), 2.0, 2.0), "expected")
 
@@ -389,6 +450,38 @@ def apply_keeping_failures(v):
     return rounded(C.apply(v, F.avg("x"), F.count(F.lit(1)) < 65, False), "value")
 
 
+@query("collection_assign", "SELECT neuron_id, CAST(sum(CASE WHEN neuron_id % 2 = 0 THEN 1 ELSE point_no END) AS BIGINT) AS total FROM v WHERE neuron_id % 3 <> 0 OR neuron_id % 2 = 0 GROUP BY neuron_id", "heap")
+def collection_assign(v):
+    new = v.filter("neuron_id % 2 = 0").withColumn("point_no", F.lit(1).cast("long"))
+    return C.assign(v.filter("neuron_id % 3 <> 0"), new).groupBy("neuron_id").agg(F.sum("point_no").alias("total"))
+
+
+@with_metadata("metadata_assign", "SELECT neuron_id, CASE WHEN neuron_id % 3 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM m")
+def metadata_assign(v, m):
+    return C.assign_field(m, "c_mktsegment", m.filter("neuron_id % 3 = 0").select("neuron_id", F.lit("new").alias("value"))).select("neuron_id", "c_mktsegment")
+
+
+@query("collection_filter", "SELECT neuron_id, count(*) AS n FROM v GROUP BY neuron_id HAVING max(x) > 40 AND count(*) > 60", "heap")
+def collection_filter(v):
+    return C.subset_by(v, (F.max("x") > 40) & (F.count(F.lit(1)) > 60)).groupBy("neuron_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("apply_pairs", "SELECT neuron_id, round(max(x) - min(y), 4) AS value FROM v WHERE neuron_id % 3 = 0 GROUP BY neuron_id", "heap")
+def apply_pairs(v):
+    return rounded(C.apply_pairs(v, v.filter("neuron_id % 3 = 0"), F.max("x"), F.min("y"), lambda a, b: a - b), "value")
+
+
+@query("all_equal", "SELECT DISTINCT neuron_id FROM v WHERE neuron_id % 4 = 1 AND point_no = 3", "heap")
+def all_equal(v):
+    other = v.withColumn("x", F.when((F.col("neuron_id") % 4 == 1) & (F.col("point_no") == 3), F.col("x") + 1).otherwise(F.col("x")))
+    return C.differing(v, other, ["x", "y", "z"])
+
+
+@with_metadata("droplevels", "SELECT DISTINCT c_mktsegment AS value FROM m WHERE c_acctbal > 9000")
+def droplevels(v, m):
+    return C.unused_levels(m.filter("c_acctbal > 9000"), m.select(F.col("c_mktsegment").alias("value")).distinct(), "c_mktsegment")
+
+
 LINE = "sha256(point_no::VARCHAR || ',' || printf('%.4f', x) || ',' || printf('%.4f', y))"
 
 
@@ -478,6 +571,24 @@ def label_statistics(g):
     return rounded(I.label_statistics(g, g.withColumn("value", F.col("j") % 3), "image_id"), "mean")
 
 
+@on_grids("materials", "SELECT k AS id, 'layer ' || k AS name, k AS level, count(*) AS n FROM g GROUP BY k")
+def materials(g):
+    names = g.select(F.col("k").alias("id"), F.concat(F.lit("layer "), F.col("k")).alias("name"), F.col("k").alias("level")).distinct()
+    return I.material_table(g.withColumn("value", F.col("k")), names)
+
+
+@on_grids("mask_by_name", "SELECT image_id, i, j, k, CASE WHEN k = 2 THEN value ELSE 0 END AS value FROM g")
+def mask_by_name(g):
+    names = g.select(F.col("k").alias("level"), F.concat(F.lit("layer "), F.col("k")).alias("name")).distinct()
+    return I.masked_by_name(g, g.withColumn("value", F.col("k")), "image_id", names, ["layer 2"])
+
+
+@on_grids("empty_cells", "SELECT image_id, 180 - count(*) AS n FROM g GROUP BY image_id")
+def empty_cells(g):
+    each = g.select("image_id").distinct().crossJoin(F.broadcast(I.all_cells(g.sparkSession, D.GRID_DIMS)))
+    return each.join(g, ["image_id", *I.CELL], "left").groupBy("image_id").agg(F.count_if(F.col("value").isNull()).alias("n"))
+
+
 # Surfaces.
 def on_meshes(name: str, sql: str | None):
     def add(f):
@@ -507,7 +618,43 @@ def mesh_regions(faces, vertices, spark, sf_dir):
     return U.regions(faces, "^in").select("mesh_id", "face", "region")
 
 
-@on_meshes("points_inside", None)
+#: Tetrahedra as rows, and whether a point p lies in one or on it: on the side of each face where the fourth corner is.
+TETRA = "h AS (SELECT mesh_id, " + ", ".join(f"max(CASE WHEN vertex = {k} THEN {c} END) AS {c}{k}" for k in range(1, 5) for c in "xyz") + " FROM mv GROUP BY mesh_id)"
+
+
+def side_sql(a: int, b: int, c: int, d: str) -> str:
+    e = lambda q, k: f"({k}{q} - {k}{a})"
+    n = [f"({e(b, p)} * {e(c, q)} - {e(b, q)} * {e(c, p)})" for p, q in ("yz", "zx", "xy")]
+    return " + ".join(f"{m} * ({k}{d} - {k}{a})" for m, k in zip(n, "xyz", strict=True))
+
+
+WITHIN = " AND ".join(f"({side_sql(a, b, c, '')}) * ({side_sql(a, b, c, str(d))}) >= 0" for a, b, c, d in ((1, 2, 3, 4), (1, 2, 4, 3), (1, 3, 4, 2), (2, 3, 4, 1)))
+
+
+@on_meshes("points_inside", f", {TETRA}, c AS ({D.CLOUD.format(lineitem='lineitem')}), p AS (SELECT image_id % 25 AS mesh_id, image_id * 1000000 + point AS point, x, y, z FROM c) SELECT p.mesh_id, p.point, {WITHIN} AS inside FROM p JOIN h ON h.mesh_id = p.mesh_id")
 def points_inside(faces, vertices, spark, sf_dir):
-    points = D.clouds(spark, sf_dir).select((F.col("image_id") % 25).alias("mesh_id"), (F.col("image_id") * 1_000_000 + F.col("point")).alias("point"), (F.col("x") + 0.1).alias("x"), (F.col("y") + 0.2).alias("y"), (F.col("z") + 0.3).alias("z"))
+    points = D.clouds(spark, sf_dir).select((F.col("image_id") % 25).alias("mesh_id"), (F.col("image_id") * 1_000_000 + F.col("point")).alias("point"), "x", "y", "z")
     return U.points_inside(points, faces, vertices).select("mesh_id", "point", "inside")
+
+
+@on_meshes("prune_in_volume", f", {TETRA}, v AS ({D.tree_sql('heap')}), k AS (SELECT v.neuron_id, v.point_no, v.parent FROM (SELECT *, neuron_id % 25 AS mesh FROM v) v JOIN h ON h.mesh_id = v.mesh WHERE {WITHIN}) SELECT k.neuron_id, k.point_no, CASE WHEN p.point_no IS NULL THEN -1 ELSE k.parent END AS parent FROM k LEFT JOIN k p ON p.neuron_id = k.neuron_id AND p.point_no = k.parent")
+def prune_in_volume(faces, vertices, spark, sf_dir):
+    v = D.trees(spark, sf_dir).withColumn("mesh_id", F.col("neuron_id") % 25)
+    return U.prune_in_volume(v, faces, vertices).select(*T.KEY, "parent")
+
+
+@on_meshes("submesh", "SELECT mesh_id, CAST(3 + 1 AS BIGINT) AS vertices, count(*) AS faces FROM mf WHERE region = 'inner' GROUP BY mesh_id")
+def submesh(faces, vertices, spark, sf_dir):
+    f, v = U.submesh(faces, vertices, "^inner$")
+    return v.groupBy("mesh_id").agg(F.max("vertex").alias("vertices")).join(f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces")), "mesh_id")
+
+
+@on_meshes("combine_meshes", "SELECT mesh_id, CAST(8 AS BIGINT) AS vertices, 2 * count(*) AS faces, CAST(max(greatest(v1, v2, v3)) + 4 AS BIGINT) AS last FROM mf GROUP BY mesh_id")
+def combine_meshes(faces, vertices, spark, sf_dir):
+    f, v = U.combined(faces, vertices, faces, vertices)
+    return v.groupBy("mesh_id").agg(F.max("vertex").alias("vertices")).join(f.groupBy("mesh_id").agg(F.max("face").alias("faces"), F.max(F.greatest("v1", "v2", "v3")).alias("last")), "mesh_id")
+
+
+@on_meshes("box_mesh_area", ", b AS (SELECT mesh_id, max(x) - min(x) AS a, max(y) - min(y) AS b, max(z) - min(z) AS c FROM mv GROUP BY mesh_id) SELECT mesh_id, round(2 * (a * b + b * c + a * c), 4) AS area FROM b")
+def box_mesh_area(faces, vertices, spark, sf_dir):
+    return rounded(U.summary(*U.box_mesh(G.bounding_box(vertices, "mesh_id"))), "area").select("mesh_id", "area")
