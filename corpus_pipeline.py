@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over documents; each stage's result is written and read again as the next one's input."""
+"""A corpus pipeline of five stages over documents; each stage's result is written and read again as the next one's input.
+
+Defined results: null and empty texts pass toxicity and near-duplicates (documents without words or without an id are never
+copies), have no personal data, count no words, so that mixing takes none of them in a source of positive size, and rows that
+repeat an id and a text are one document after near-duplicates; an empty table gives an empty table; further columns are
+carried along up to packing.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborium.llm import mixing, neardup, packing, pii, toxicity
 from arborium.llm.common import written
 
-#: Documents with this percentage of shared word shingles, or more, are copies in WHOLE_STAGES; STAGES has op9_neardup's 85.
+#: Documents with this percentage of shared word shingles, or more, are copies; op9_neardup's contract alone has 85.
 COPY_PERCENT = 80
 
 
@@ -16,13 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return neardup.one_of_each_stage(docs)
-
-
 def drop_close_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same, with copies from COPY_PERCENT on."""
+    """One document of each group of near copies stays."""
     return neardup.one_of_each_stage(docs, COPY_PERCENT)
 
 
@@ -43,12 +44,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_duplicates", drop_copies),
+    ("near_duplicates", drop_close_copies),
     ("personal_data", mask_personal_data),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-WHOLE_STAGES = [(name, drop_close_copies if stage is drop_copies else stage) for name, stage in STAGES]
+#: The same; kept for those who call run_whole().
+WHOLE_STAGES = STAGES
 
 #: Token ids, MinHash groups and the fitted lexicon are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
