@@ -18,7 +18,7 @@ def test_stages(spark):
     automaton = model.automaton()
     passes = lambda t: model.score(toxicity.weigh(automaton, (t or "").encode())) < toxicity.THRESHOLD
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in first.collect() if passes(r.text)}
-    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in neardup.classify(clean).collect() if r.kept}
+    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in neardup.classify(clean, corpus_pipeline.COPY_PERCENT).collect() if r.kept}
     assert [f.columns for f in (clean, single, masked, mixed)] == [docs.columns] * 4
     assert masked.count() == single.count() and "<IP>" in " ".join(r.text for r in masked.collect())
     encoder = tokens.Encoder.at(tokens.default_path())
