@@ -64,10 +64,12 @@ def amira_sections(data: bytes) -> dict[str, np.ndarray]:
 
 
 def byte_runs(data: bytes, length: int) -> bytes:
-    """Byte runs: a count up to 127 repeats the next byte, a larger one less 128 copies that many."""
+    """Byte runs: a count up to 127 repeats the next byte, a larger one less 128 copies that many; a count of 0 is an error."""
     out, at = bytearray(), 0
     while at < len(data) and len(out) < length:
         n, at = data[at], at + 1
+        if not n:
+            raise ValueError("a run of no bytes")
         if n > 127:
             out += data[at : at + n - 128]
             at += n - 128
