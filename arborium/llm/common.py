@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,12 @@ KEPT: list[dict] = []
 
 def keep_only(*tables: dict) -> None:
     """Called where a task starts: its tables stay for the worker's next tasks, those of other operators make room."""
+    import pyarrow as pa
+
     for table in KEPT:
         if all(table is not t for t in tables):
             table.clear()
+    pa.default_memory_pool().release_unused()
     KEPT.extend(t for t in tables if all(t is not k for k in KEPT))
 
 
@@ -79,8 +84,14 @@ def file_system(path: str):
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def utf8(column) -> list[bytes | None]:
-    """The values of an Arrow string column as bytes."""
+#: Rows of a batch whose texts are Python objects at a time.
+DECODED_ROWS = 256
+
+
+def utf8(column) -> Iterator[bytes | None]:
+    """The values of an Arrow string column as bytes, decoded a few rows at a time: a batch isn't held twice."""
     import pyarrow as pa
 
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for k in range(0, len(column), DECODED_ROWS):
+        yield from column.slice(k, DECODED_ROWS).cast(kind).to_pylist()
