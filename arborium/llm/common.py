@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path, scratch_root, written  # noqa: F401
+from ..skew import join_spread
 
 #: Characters that separate words, and a regular expression for a run of them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,6 +40,42 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+#: One row a key is broadcast up to so many rows, else joined by shuffles that split hot keys.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame | None:
+    """df as a broadcast if it has few rows, checked; None if not."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+
+
+def lookup(rows: DataFrame, single: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with single, one row a key: by a broadcast if that is small, else by a join that splits hot keys."""
+    few = small(single)
+    return rows.join(few, key, how) if few is not None else join_spread(rows, single, key, how)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """df, stored, with each row's place from 0 in the order, and its number of rows.
+
+    A range sort deals the rows to parts; a row's place in its part is counted there, and a part's base is a prefix sum
+    over one row a part. A range sort reads df twice: pass a table, not a long computation.
+    """
+    at, part = fresh(df, "_at", "_part")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    stored = written(ordered, "numbered")
+    of = F.shiftright(at, 33).cast("int").alias(part)
+    counts = sorted(stored.groupBy(of).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counts:
+        return stored.withColumnRenamed(at, name), 0
+    ends = list(accumulate(n for _, n in counts))
+    bases = [(p, end - n) for (p, n), end in zip(counts, ends, strict=True)]
+    base = fresh(stored, "_base")[0]
+    few = F.broadcast(session(df).createDataFrame(bases, f"{part} int, {base} long"))
+    placed = stored.withColumn(part, of).join(few, part).withColumn(name, F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.drop(at, part, base), ends[-1]
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table made by written(), once nothing reads it any more."""
     spark = session(df)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, media, mixing, neardup, packing, pii, quality, token_files, toxicity, url_trust
+from . import lattice_lm, media, merkle, mixing, neardup, packing, pii, quality, resampling, token_files, toxicity, url_trust, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
@@ -67,10 +79,16 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
+    "op11_resampling": op11_resampling,
+    "op12_merkle": op12_merkle,
+    "op13_vectors": op13_vectors,
 }
 
 ORACLE_SQL = {
     "op2_quality": quality.ORACLE_SQL,
     "op4_url_trust": url_trust.oracle_sql(),
     "op6_mixing": mixing.ORACLE_SQL,
+    "op11_resampling": resampling.oracle_sql(),
+    "op12_merkle": merkle.oracle_sql(),
+    "op13_vectors": vectors.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from arborium.llm import lattice_lm, media, mixing, neardup, packing, pii, quality, token_files, toxicity, url_trust
+from arborium.llm import lattice_lm, media, merkle, mixing, neardup, packing, pii, quality, resampling, token_files, toxicity, url_trust
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,8 @@ RUNS = {
     "lattice_lm": lambda d, labels: lattice_lm.score_documents(d),
     "neardup": lambda d, labels: neardup.classify(d),
     "packing": lambda d, labels: packing.pack(d),
+    "resampling": lambda d, labels: resampling.resample(d, d),
+    "merkle": lambda d, labels: merkle.manifest(d),
 }
 
 
