@@ -21,7 +21,8 @@ The similarity is a parameter, 0.85 unless given. A pair right at it is missed b
 MISS (1.2e-5 at 0.85, 1.5e-5 at 0.80), and by the sketch screen, which lies five standard deviations lower, with less.
 
 Defined results: no words means an empty set, linked with nothing; a null id takes no part (it is its own
-component, null, and kept); rows that repeat an id and a text are in one component, all of them kept;
+component, null, and kept); rows that repeat an id and a text are in one component, all of them kept; texts that share an
+id are documents of their own, linked by their sets alone;
 an empty table gives an empty table; other columns don't matter.
 """
 
@@ -48,8 +49,8 @@ SKETCH_BITS = 1024
 MISS = 2e-5
 #: Five standard deviations of an odd sketch's estimate, as a multiple of sqrt(s (1 - s)).
 DEVIATIONS = 0.476
-#: Classes in a block of a bucket.
-BLOCK = 512
+#: Classes in a block of a bucket, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Pairs with one first class that are confirmed in one unit, or the PAIR_PARTS-th part of all pairs if that is more.
 PAIR_ROWS, PAIR_PARTS = 64, 4096
 #: Shingles hashed at a time, and words and texts whose hashes a worker keeps.
@@ -151,7 +152,7 @@ def estimated(differing: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, sequence, n_shingles, bands, sketch of each document; sequence null without words."""
+    """doc_id, text_key, sequence, n_shingles, bands, sketch of each document; sequence null without words."""
     like = Likeness(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +174,10 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     seen[key] = (key, len(found), band_keys(minima, like.bands, like.rows), odd_sketch(minima))
                 rows.append(seen[key])
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "sequence", "n_shingles", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "text_key", "sequence", "n_shingles", "bands", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(sign, "doc_id long, sequence binary, n_shingles long, bands array<long>, sketch array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("doc_id", "text").alias("text_key"))
+    return narrow.mapInArrow(sign, "doc_id long, text_key binary, sequence binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,16 +209,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(key, doc_id, band, first, n): a row for each class and each of its band keys that others share; first is the bucket's smallest."""
-    keyed = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    """(key, doc_id, n_shingles, band, first, n): a row for each class and each of its band keys that others share; first is the bucket's smallest."""
+    keyed = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
     return written(join_spread(keyed, shared, "key", hot=hot_of(shared.select("key", "n"), total)), "bucket-members")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, found): the sets of the classes in wanted (doc_id, sequence), once each."""
-    texts = join_spread(docs.selectExpr("cast(doc_id as long) as doc_id", "text").filter("doc_id is not null"), wanted, "doc_id")
+    """(doc_id, found): the sets of the classes in wanted (doc_id, first_id, sequence), once each."""
+    texts = join_spread(docs.selectExpr("cast(doc_id as long) as first_id", "text").filter("first_id is not null"), wanted, "first_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_words()
@@ -245,21 +247,25 @@ def leader_pairs(members: DataFrame, sketches: DataFrame, like: Likeness) -> Dat
     return join_spread(pairs.join(of("b"), "b"), of("a"), "a", hot=hot_of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), pairs.count())).filter(close("na", "nb", "sa", "sb", like)).select("a", "b")
 
 
-def unlinked_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, doc_id, band, leads, component, inside, others, held): the members of buckets that hold several groups.
+def unlinked_members(members: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """(key, doc_id, band, leads, component, inside, others, held): the members of buckets that hold several groups; None if no bucket does.
 
-    inside tells the group of the anchor, the smallest class of the bucket's largest group; others and held count the
-    bucket's members outside and inside it.
+    inside tells the group of the anchor, the smallest class of the bucket's largest group; others and held are the
+    blocks into which the bucket's members outside and inside it are cut, by their number and by the bytes of their sets.
     """
     known = groups.select(F.col("node").alias("doc_id"), "component")
     placed = written(members.filter("n > 2").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    sized = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
-    largest = F.max_by(F.struct("component", "held"), F.struct("held", -F.col("component"))).alias("largest")
-    parted = sized.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("held").alias("n"), largest).filter("groups > 1")
-    buckets = written(parted.select("key", "n", F.col("largest.component").alias("anchor"), F.col("largest.held").alias("held")), "open-buckets")
+    sized = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"), (8 * F.sum("n_shingles")).alias("bytes"))
+    largest = F.max_by(F.struct("component", "held", "bytes"), F.struct("held", -F.col("component"))).alias("largest")
+    parted = sized.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("held").alias("n"), F.sum("bytes").alias("bytes"), largest).filter("groups > 1")
+    cut = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    inner, size = F.col("largest.held"), F.col("largest.bytes")
+    buckets = written(parted.select("key", "n", F.col("largest.component").alias("anchor"), cut(F.col("n") - inner, F.col("bytes") - size).alias("others"), cut(inner, size).alias("held")), "open-buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return None
     joined = join_spread(placed.drop("n"), buckets, "key", hot=hot_of(buckets.select("key", "n"), total))
-    return joined.select("key", "doc_id", "band", (F.col("doc_id") == F.col("first")).alias("leads"), "component", (F.col("component") == F.col("anchor")).alias("inside"), (F.col("n") - F.col("held")).alias("others"), "held")
+    return joined.select("key", "doc_id", "band", (F.col("doc_id") == F.col("first")).alias("leads"), "component", (F.col("component") == F.col("anchor")).alias("inside"), "others", "held")
 
 
 def units(members: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def units(members: DataFrame) -> DataFrame:
     Members outside the anchor's group are cut into blocks i; a unit holds two of these blocks, or one of them and a block of
     the anchor's group.
     """
-    many = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    many = F.col
     block = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -389,14 +395,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def linked_groups(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the classes that are linked with another."""
+    """(node, component) of those classes (doc_id, a number of the class; first_id, sequence and others) that are linked with another."""
     like = Likeness(percent)
     members = bucket_members(classes)
     sketches = written(classes.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
-    sets = written(shingle_sets(docs, sketches.select("doc_id", "sequence")), "shingle-sets")
+    sets = written(shingle_sets(docs, sketches.select("doc_id", "first_id", "sequence")), "shingle-sets")
     links = written(confirmed(written(leader_pairs(members, sketches, like), "screened"), sets, percent), "links")
     groups = components(links)
-    apart = units(unlinked_members(members, groups)).join(sketches.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
+    several = unlinked_members(members, groups)
+    if several is None:
+        return groups
+    apart = units(several).join(sketches.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
     apart = written(apart.select(*UNIT, *MEMBER), "units")
     kept = written(possible(apart, like), "possible")
     if not kept.head(1):
@@ -405,23 +414,53 @@ def linked_groups(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -
     return components(links.unionByName(more))
 
 
-def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
+def text_key(doc_id: str, text: str) -> Column:
+    """128 bits of id and text; null without an id or a word."""
+    alike = F.col(doc_id).isNotNull() & F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]"))
+    return F.when(alike, F.unhex(F.md5(F.concat_ws(":", F.col(doc_id).cast("string"), F.col(text)))))
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Two tables: signatures() of the documents, and (sequence, component, component_id) of each class.
+
+    component is a number of its own: different components may have the same smallest id, where texts share an id.
+    """
     signed = written(signatures(docs, percent), "signatures")
     known = signed.filter("sequence is not null and doc_id is not null")
-    classes = written(known.groupBy("sequence").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("c")).select("sequence", "c.*"), "classes")
+    first = known.groupBy("sequence").agg(F.min_by(F.struct(F.col("doc_id").alias("first_id"), "n_shingles", "bands", "sketch"), "doc_id").alias("c"))
+    classes = written(first.select("sequence", "c.*", F.monotonically_increasing_id().alias("doc_id")), "classes")
     groups = linked_groups(docs, classes, percent)
-    found = classes.select("sequence", "doc_id").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    of = written(found.select("sequence", F.coalesce("component", "doc_id").alias("component")), "components")
-    rows = join_spread(known.select("doc_id", "sequence", "n_shingles"), of, "sequence").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    found = classes.select("sequence", "doc_id", "first_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(found.select("sequence", "first_id", F.coalesce("component", "doc_id").alias("component")), "class-groups")
+    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return signed, written(join_spread(placed.select("sequence", "component"), least, "component"), "components")
+
+
+def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document."""
+    signed, of = grouped(docs, percent)
+    known = signed.filter("sequence is not null and doc_id is not null")
+    rows = join_spread(known.select("doc_id", "sequence", "n_shingles"), of.select("sequence", "component_id"), "sequence").select("doc_id", "n_shingles", "component_id")
     others = signed.filter("sequence is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.unionByName(others).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_stage(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents with one row of each component, its smallest id; documents without words or id stay."""
-    kept, n = fresh(docs, "dup_id", "dup_shingles")
-    verdict = classify(docs, percent).filter("kept").select(F.col("doc_id").alias(kept), F.col("n_shingles").alias(n)).dropDuplicates([kept])
-    marked = docs.join(verdict, F.col("doc_id") == F.col(kept), "left")
-    single = marked.filter(F.col(n) > 0).drop(kept, n).dropDuplicates(["doc_id"])
-    return single.unionByName(marked.filter(F.col("doc_id").isNull() | (F.col(n) == 0)).drop(kept, n)).select(*docs.columns)
+    """The documents with one row of each component: of its smallest id, and of that id's texts the one with the least key.
+
+    Documents without words or id stay. Rows that repeat an id and a text are one document; an id's other texts are others.
+    """
+    signed, of = grouped(docs, percent)
+    own = signed.filter("text_key is not null").groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("sequence").alias("sequence"), F.first("doc_id").alias("doc_id"))
+    may = join_spread(own, of.select("sequence", "component"), "sequence")
+    best = may.groupBy("component").agg(F.min_by(F.struct("text_key", "n"), F.struct("doc_id", "text_key")).alias("best"))
+    key, n = fresh(docs, "dup_key", "dup_rows")
+    stay = written(best.select(F.col("best.text_key").alias(key), F.col("best.n").alias(n)), "copies-kept")
+    hot = hot_of(stay.select(key, F.col(n).alias("n")), stay.agg(F.sum(n)).first()[0] or 0)
+    keyed = docs.withColumn(key, text_key("doc_id", "text"))
+    met = join_spread(keyed.filter(F.col(key).isNotNull()), stay, key, hot=hot)
+    out = keyed.filter(F.col(key).isNull()).select(*docs.columns)
+    if not stay.filter(F.col(n) > 1).head(1):
+        return out.unionByName(met.select(*docs.columns))
+    out = out.unionByName(met.filter(F.col(n) == 1).select(*docs.columns))
+    return out.unionByName(met.filter(F.col(n) > 1).dropDuplicates([key]).select(*docs.columns))
