@@ -4,8 +4,8 @@ Features of a text are its runs of 1 to `longest` consecutive words, joined by o
 bucket is the CRC-32 of its bytes modulo `buckets`. What a bucket gains is the log ratio of its smoothed shares in the target
 texts and in all documents; a document's weight is its features' mean gain, and the highest of weight + Gumbel noise are drawn.
 
-1. Words, and pairs of words where runs of two are asked for, are counted over all documents. The HEAD most frequent words
-   are broadcast with their CRC states, the PAIRS most frequent pairs with their buckets: exact values, so that what is
+1. Words, and pairs of words where runs of two are asked for, are counted over all documents. Up to HEAD most frequent words
+   are broadcast with their CRC states, up to PAIRS most frequent pairs with their buckets: exact values, so that what is
    in the head changes speed alone. Words beyond HEAD_BYTES bytes are never in it, which bounds what is broadcast.
 2. One pass over the texts turns each document into a list of bucket numbers: from the head, by going on from a head word's
    state, or by a CRC of the feature's own bytes in the tail. The lists are stored; texts are not read again.
@@ -23,14 +23,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, numbered, utf8, written
+from .common import UPPER, numbered, remove, utf8, written
 
 #: Frequent words and pairs that are broadcast, and the longest such word.
 HEAD, PAIRS, HEAD_BYTES = 65_536, 65_536, 64
@@ -95,14 +95,25 @@ def head_counts(docs: DataFrame, longest: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def size_class(n: Column) -> Column:
+    """Rises with n, in steps of a sixteenth of n at most: fewer than 1,024 classes."""
+    bits = F.length(F.bin(n)).cast("long")
+    return bits * 16 + F.call_function("shiftright", n, F.greatest(bits - 5, F.lit(0)).cast("int")).bitwiseAND(F.lit(15).cast("long"))
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of whole classes of n, from the highest, that are at most so many together: all that reaches the driver."""
+    sizes = sorted(counted.groupBy(size_class(F.col("n")).alias("class")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    whole = [c for (c, _), total in zip(sizes, accumulate(r for _, r in sizes), strict=True) if total <= most]
+    return counted.filter(size_class(F.col("n")) >= whole[-1]) if whole else counted.limit(0)
+
+
 def head_of(docs: DataFrame, longest: int, buckets: int) -> tuple[States, dict[tuple[bytes, bytes], int]]:
     """CRC states of the most frequent words, and buckets of the most frequent pairs."""
-    counted = head_counts(docs, longest)
-    if longest > 1:
-        counted = written(counted, "word-counts")
-    top = lambda rows, most: rows.orderBy(F.col("n").desc(), "a", "b").limit(most).collect()
-    states = States((bytes(r.a), zlib.crc32(r.a)) for r in top(counted.filter("b is null"), HEAD))
-    pairs = {(bytes(r.a), bytes(r.b)): zlib.crc32(bytes(r.a) + b" " + bytes(r.b)) % buckets for r in top(counted.filter("b is not null"), PAIRS)} if longest > 1 else {}
+    counted = written(head_counts(docs, longest).filter("n > 1"), "word-counts")
+    states = States((bytes(r.a), zlib.crc32(r.a)) for r in most_frequent(counted.filter("b is null"), HEAD).collect())
+    pairs = {(bytes(r.a), bytes(r.b)): zlib.crc32(bytes(r.a) + b" " + bytes(r.b)) % buckets for r in most_frequent(counted.filter("b is not null"), PAIRS).collect()} if longest > 1 else {}
+    remove(counted)
     return states, pairs
 
 
