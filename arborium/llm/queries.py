@@ -27,10 +27,6 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def op4_url_trust_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_whole(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-
-
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -72,7 +68,6 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_url_trust": op4_url_trust,
-    "op4_url_trust_whole": op4_url_trust_whole,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,

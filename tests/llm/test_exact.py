@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from arborium.llm import lattice_lm, media, mixing, neardup, packing, pii, quality, queries, token_files, tokens, toxicity, url_trust
+from arborium.llm import lattice_lm, media, mixing, neardup, packing, pii, quality, queries, token_files, tokens, toxicity
 from arborium.llm.common import LOWER_BYTES
 
 SF = "/root/testdata/sf0.001"
@@ -440,37 +440,3 @@ def test_odd_sketches_estimate():
             x, y = (np.frombuffer(neardup.odd_sketch(neardup.samples(s)), np.uint64) for s in (a, b))
             errors.append(float(neardup.estimated(np.bitwise_count(x ^ y).sum())) - true)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
-
-
-# Host trust.
-def test_propagation(spark):
-    links = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "a", 3.0)]
-    seeds = [("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 0.5), ("d", 0.0, 1.0)]
-    hosts = [s[0] for s in seeds]
-    trust, distrust = ({s[0]: 0.15 * s[k] for s in seeds} for k in (1, 2))
-    t, d = dict(trust), dict(distrust)
-    out = collections.Counter()
-    into = collections.Counter()
-    for s, e, w in links:
-        out[s] += w
-        into[e] += w
-    for _ in range(4):
-        nt, nd = dict(trust), dict(distrust)
-        for s, e, w in links:
-            nt[e] += 0.85 * t[s] * w / out[s]
-            nd[s] += 0.85 * d[e] * w / into[e]
-        t, d = nt, nd
-    got = url_trust.propagate(spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trusted double, blocked double"), rounds=4)
-    for r in got.collect():
-        assert (r.trust, r.distrust) == pytest.approx((t[r.host] / 0.15, d[r.host] / 0.15))
-    assert len(hosts) == got.count()
-
-
-def test_links_and_verdicts(spark):
-    spam = "http://s.example.net/x"
-    pages = [(1, spam, ""), *((k, f"http://h{k}.example.com/", f'<a href="{spam}">x</a>') for k in range(2, 4))]
-    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
-    edges = {(r.src, r.dst): r.weight for r in url_trust.host_edges(frame.select("html", url_trust.host_and_path(url_trust.F.col("url"))["host"].alias("host"))).collect()}
-    assert edges == {("h2.example.com", "s.example.net"): 1.0, ("h3.example.com", "s.example.net"): 1.0}
-    strict = {r.page_id: r.verdict for r in url_trust.judge(frame, margin=0.3).collect()}
-    assert strict == {1: "block", 2: "block", 3: "block"}
