@@ -8,8 +8,10 @@ never decoded.
 
 Defined results: a null payload is empty; a container without a movie has no tracks; of a table that is cut short, or
 counts more than its box or the file can hold, what is there is used; boxes that leave their parent, or lie deeper than
-DEEPEST, aren't opened; samples before the file's start are left out; any bytes give a result. Repeated rows are handled one
-by one; an empty table gives an empty table.
+DEEPEST, aren't opened; samples before the file's start are left out; a duration of all ones is unknown, null; offsets and
+times beyond FAR count as FAR; all tracks together hold at most as many samples, and give at most as many bytes, as the
+container has bytes (samples may overlap; a file that names its body again and again ends there); any bytes give a
+result. Repeated rows are handled one by one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ KEYFRAME_EVERY = 8
 TIMESCALE, FRAME_TICKS = 25_000, 1_000
 #: Boxes that hold boxes; stsd and the like hold tables.
 DEEPEST = 32
+#: Largest offset and time that is told apart; sums with all sizes of a file stay in 64 bits.
+FAR = 1 << 61
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -105,7 +109,7 @@ class Track:
     handler: str = ""
     codec: str = ""
     timescale: int = 0
-    duration: int = 0
+    duration: int | None = 0
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -161,11 +165,12 @@ def u4(data: bytes, at: int, end: int) -> int:
     return struct.unpack_from(">I", data, at)[0] if at + 4 <= end else 0
 
 
-def laid_out(track: Track, raw: dict[bytes, np.ndarray]) -> None:
-    """Sets a track's samples from its tables."""
+def laid_out(track: Track, raw: dict[bytes, np.ndarray], most: int) -> int:
+    """Sets a track's samples from its tables, so many at most; their number."""
     none = np.zeros(0, np.int64)
     sizes, chunks, runs, stts = raw.get(b"size", none), raw.get(b"chunk", none), raw.get(b"stsc", np.zeros((0, 3), np.int64)), raw.get(b"stts", np.zeros((0, 2), np.int64))
     last = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else none
+    sizes, chunks = sizes[:most], np.minimum(chunks, FAR)
     each = repeated(runs[:, 1], last - runs[:, 0], len(chunks))
     of = repeated(np.arange(len(each)), each, len(sizes))
     times = np.concatenate([[0], np.cumsum(repeated(stts[:, 1], stts[:, 0], len(sizes)))])
@@ -174,7 +179,8 @@ def laid_out(track: Track, raw: dict[bytes, np.ndarray]) -> None:
     before = np.cumsum(sizes) - sizes
     track.offsets, track.sizes, track.times = chunks[of] + before - before[np.searchsorted(of, of, "left")], sizes, times
     keys = raw[b"stss"] - 1 if b"stss" in raw else np.arange(count)
-    track.keys = keys[(keys >= 0) & (keys < count)]
+    track.keys = keys[(keys >= 0) & (keys < count)][:count]
+    return count
 
 
 def within(track: Track) -> Track:
@@ -200,16 +206,16 @@ class Fragment:
     next: int = 0
 
 
-def add_run(data: bytes, at: int, end: int, fragment: Fragment, track: Track) -> None:
-    """Appends the samples of a trun box to a track; a keyframe is a sample that isn't marked as depending on others."""
-    flags, count, at = u4(data, at, end) & 0xFFFFFF, u4(data, at + 4, end), at + 8
+def add_run(data: bytes, at: int, end: int, fragment: Fragment, track: Track, most: int) -> int:
+    """Appends the samples of a trun box to a track, so many at most; a keyframe is a sample that isn't marked as depending on others."""
+    flags, count, at = u4(data, at, end) & 0xFFFFFF, min(most, u4(data, at + 4, end)), at + 8
     start = fragment.next or fragment.base
     if flags & 0x1:
         start, at = fragment.base + (u4(data, at, end) ^ 0x80000000) - 0x80000000, at + 4
     first = u4(data, at, end) if flags & 0x4 else None
     at += 4 if flags & 0x4 else 0
     fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
-    table = rows_of(data, at, end, count, len(fields)) if fields else np.zeros((min(count, len(data)), 0), np.int64)
+    table = rows_of(data, at, end, count, len(fields)) if fields else np.zeros((count, 0), np.int64)
     column = lambda f, default: table[:, fields.index(f)] if f in fields else np.full(len(table), default, np.int64)
     steps, sizes, marks = column(0x100, fragment.duration), column(0x200, fragment.size), column(0x400, fragment.flags).copy()
     if first is not None and len(marks):
@@ -220,8 +226,18 @@ def add_run(data: bytes, at: int, end: int, fragment: Fragment, track: Track) ->
     track.offsets = np.concatenate([track.offsets, start + np.cumsum(sizes) - sizes])
     track.times = np.concatenate([track.times, base + np.cumsum(steps) - steps])
     track.sizes = np.concatenate([track.sizes, sizes])
-    fragment.next, track.end = start + int(sizes.sum()), base + int(steps.sum())
+    fragment.next, track.end = min(FAR, start + int(sizes.sum())), min(FAR, base + int(steps.sum()))
     fragment.time = track.end
+    return len(sizes)
+
+
+def u8(data: bytes, at: int, end: int) -> int:
+    return u4(data, at, end) << 32 | u4(data, at + 4, end)
+
+
+def duration_of(value: int, bits: int) -> int | None:
+    """A duration field; all ones mean that it is unknown."""
+    return None if value == (1 << bits) - 1 else min(value, (1 << 63) - 1)
 
 
 def tracks(data: bytes) -> list[Track]:
@@ -229,20 +245,20 @@ def tracks(data: bytes) -> list[Track]:
     found: list[Track] = []
     raw: dict[bytes, np.ndarray] = {}
     defaults: dict[int, tuple[int, int, int]] = {}
-    fragment, moof, data_end = None, 0, 0
+    fragment, moof, data_end, room = None, 0, 0, len(data)
     for path, at, end in walk(data):
         kind = path[-1]
         long = end > at and data[at] == 1
         if kind == b"trak":
             if found:
-                laid_out(found[-1], raw)
+                room -= laid_out(found[-1], raw, room)
             found.append(Track())
             raw = {}
         elif kind == b"trex":
             defaults[u4(data, at + 4, end)] = (u4(data, at + 12, end), u4(data, at + 16, end), u4(data, at + 20, end))
         elif kind == b"moof":
             if found and raw:
-                laid_out(found[-1], raw)
+                room -= laid_out(found[-1], raw, room)
                 raw = {}
             moof = data_end = at - (16 if data[max(0, at - 16) : at - 8] == b"\0\0\0\1moof" else 8)
         elif kind == b"tfhd" and b"moof" in path:
@@ -250,17 +266,17 @@ def tracks(data: bytes) -> list[Track]:
             values = dict(zip((0x8, 0x10, 0x20), defaults.get(name, (0, 0, 0)), strict=True))
             base = moof if flags & 0x20000 else data_end
             if flags & 0x1:
-                base, place = u4(data, place, end) << 32 | u4(data, place + 4, end), place + 8
+                base, place = min(FAR, u8(data, place, end)), place + 8
             place += 4 if flags & 0x2 else 0
             for bit in values:
                 if flags & bit:
                     values[bit], place = u4(data, place, end), place + 4
             fragment = Fragment(name, base, *values.values())
         elif kind == b"tfdt" and fragment:
-            fragment.time = u4(data, at + 4, end) << 32 | u4(data, at + 8, end) if long else u4(data, at + 4, end)
+            fragment.time = min(FAR, u8(data, at + 4, end)) if long else u4(data, at + 4, end)
         elif kind == b"trun" and fragment:
             for track in (t for t in found if t.track_id == fragment.track_id):
-                add_run(data, at, end, fragment, track)
+                room -= add_run(data, at, end, fragment, track, room)
                 data_end = fragment.next
         elif not found or b"trak" not in path:
             continue
@@ -268,7 +284,7 @@ def tracks(data: bytes) -> list[Track]:
             found[-1].track_id = u4(data, at + (20 if long else 12), end)
         elif kind == b"mdhd":
             found[-1].timescale = u4(data, at + (20 if long else 12), end)
-            found[-1].duration = u4(data, at + 24, end) << 32 | u4(data, at + 28, end) if long else u4(data, at + 16, end)
+            found[-1].duration = duration_of(u8(data, at + 24, end), 64) if long else duration_of(u4(data, at + 16, end), 32)
         elif kind == b"hdlr":
             found[-1].handler = data[at + 8 : min(end, at + 12)].decode("latin-1")
         elif kind == b"stsd":
@@ -287,20 +303,36 @@ def tracks(data: bytes) -> list[Track]:
         elif kind in (b"stco", b"co64"):
             raw[b"chunk"] = numbers(data, at + 8, end, u4(data, at + 4, end), ">u4" if kind == b"stco" else ">i8")
     if found and raw:
-        laid_out(found[-1], raw)
+        laid_out(found[-1], raw, room)
     for track in found:
-        track.duration = track.duration or track.end
+        track.duration = track.duration or track.end or track.duration
     return [within(t) for t in found]
 
 
-def samples(data: bytes, track: Track) -> bytes:
-    """The stored bytes of a track's samples, in order; neighbouring samples are read together."""
-    if not len(track.offsets):
+def samples(data: bytes, track: Track, most: int | None = None) -> bytes:
+    """The stored bytes of a track's samples, in order, those of its first samples that are so many bytes at most (by default the container's).
+
+    Neighbouring samples are read together.
+    """
+    from_ = np.minimum(track.offsets, len(data))
+    sizes = np.minimum(track.sizes, len(data) - from_)
+    count = int(np.searchsorted(np.cumsum(sizes), len(data) if most is None else most, "right"))
+    if not count:
         return b""
-    breaks = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
+    from_, sizes = from_[:count], sizes[:count]
+    breaks = np.flatnonzero(from_[1:] != from_[:-1] + sizes[:-1]) + 1
     first = np.concatenate([[0], breaks])
-    last = np.concatenate([breaks, [len(track.offsets)]]) - 1
-    return b"".join(data[track.offsets[a] : track.offsets[b] + track.sizes[b]] for a, b in zip(first, last, strict=True))
+    last = np.concatenate([breaks, [count]]) - 1
+    return b"".join(data[from_[a] : from_[b] + sizes[b]] for a, b in zip(first, last, strict=True))
+
+
+def payload_of(data: bytes, found: list[Track]) -> bytes:
+    """The samples of all tracks, as many bytes together as the container has at most."""
+    parts, left = [], len(data)
+    for track in found:
+        parts.append(samples(data, track, left))
+        left -= len(parts[-1])
+    return b"".join(parts)
 
 
 def feature(found: list[Track]) -> str:
@@ -354,7 +386,7 @@ def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
             out: dict[str, list] = {n: [] for n in names[1:]}
             for data in batch.column("media").to_pylist():
                 found = tracks(data)
-                payload = b"".join(samples(data, t) for t in found)
+                payload = payload_of(data, found)
                 values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(found))
                 for n, v in zip(names[1:], values, strict=True):
                     out[n].append(v)
