@@ -9,11 +9,11 @@ the words taken come near the target. The layout has cells (source, size class,
 about ROWS_PER_CELL rows however large the source is, ranks are counted inside cells, and the cells'
 bases are prefix sums over their row counts. No source is ever gathered in one task, and no list of sources either:
 sources are ranked by a range sort with prefix sums over its parts, and the level to which targets are filled is
-found by sums over all sources, again until no further source stops.
+found by sums over all sources, again until no further source stops. A cell that many rows with one id and text
+overfill is cut once more, by the rows' places in the stored table.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated
-rows are documents of their own, alike in all but their copies (rows that repeat an id and a text share a cell, whatever
-their number); an empty table gives an empty table; columns besides those named are
+rows are documents of their own, alike in all but their copies; an empty table gives an empty table; columns besides those named are
 carried along, whatever their names.
 """
 
@@ -25,15 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, words, written
+from ..skew import hot_of, join_spread
+from .common import fresh, small, words, written
 
 #: Weights by the sources' rank, repeating.
 WEIGHTS = (3, 1, 2)
 #: A cell has this many rows, or the 65,536th part of all rows if that is more.
 ROWS_PER_CELL = 256
 MOST_CELLS = 65_536
-#: Source and class statistics are broadcast up to this many rows, else joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: A cell with so many times its rows is cut again; there are fewer than MOST_CELLS such cells.
+OVERFULL = 8
 
 
 def text_size(text: Column) -> Column:
@@ -80,31 +81,38 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float
     return weighed.select("is_null", "source", "source_size", F.when(stopped, cap * F.col("source_size")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast if few rows, checked; else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def mix(rows: DataFrame, source: str, size: str, key: str, tie: str, *, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def mix(rows: DataFrame, source: str, size: str, key: str, tie: str, place: str, *, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """All rows and columns, with struct column mix(source_size, target, copies).
 
-    key and tie, a hash of the text, order the rows of a size; rows is read three times: pass a table, not a long computation.
+    key and tie, a hash of the text, order the rows of a size; place is a number of the row that is stored with it. rows is
+    read several times: pass a table, not a long computation.
     """
-    is_null, name, klass, salt, rank, base, drawn = fresh(rows, "mix_null", "mix_source", "mix_class", "mix_salt", "mix_rank", "mix_base", "mix")
+    is_null, name, klass, kind, salt, rank, base, drawn = fresh(rows, "mix_null", "mix_source", "mix_class", "mix_kind", "mix_salt", "mix_rank", "mix_base", "mix")
     keyed = rows.withColumns({is_null: F.col(source).isNull(), name: F.coalesce(F.col(source), F.lit("")), klass: size_class(F.col(size))})
     classes = written(keyed.groupBy(F.col(is_null).alias("is_null"), F.col(name).alias("source"), F.col(klass).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words")), "mix-classes")
     per_source = targets(classes.groupBy("is_null", "source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     total = classes.agg(F.sum("n")).first()[0] or 0
     per_cell = max(rows_per_cell, total // MOST_CELLS)
-    spread = classes.select(F.col("is_null").alias(is_null), F.col("source").alias(name), F.col("class").alias(klass), F.ceil(F.col("n") / per_cell).cast("long").alias("mix_spread"))
-    salted = keyed.join(small(spread), [is_null, name, klass]).withColumn(salt, unit_hash(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(tie))) % F.col("mix_spread")).drop("mix_spread")
+    spread = classes.select(F.struct(F.col("is_null").alias(is_null), F.col("source").alias(name), F.col("class").alias(klass)).alias(kind), F.ceil(F.col("n") / per_cell).cast("long").alias("mix_spread"), "n")
+    few, keyed = small(spread), keyed.withColumn(kind, F.struct(is_null, name, klass))
+    joined = keyed.join(few.drop("n"), kind) if few is not None else join_spread(keyed, spread.drop("n"), kind, hot=hot_of(spread.select(kind, "n"), total))
+    salted = joined.withColumn(salt, unit_hash(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(tie))) % F.col("mix_spread")).drop(kind)
     cell = [is_null, name, klass, salt]
-    cells = salted.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(salted.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.first("mix_spread").alias("mix_spread")), "mix-salts")
+    full = cells.filter(F.col("n") > OVERFULL * per_cell)
+    if full.head(1):
+        parts = F.ceil(F.col("n") / per_cell).cast("long").alias("mix_parts")
+        cut = salted.join(F.broadcast(full.select(*cell, parts)), cell, "left")
+        again = F.when(F.col("mix_parts").isNotNull(), F.col("mix_spread") * (1 + F.pmod(F.col(place), F.col("mix_parts")))).otherwise(0)
+        salted = cut.withColumn(salt, F.col(salt) + again).drop("mix_parts")
+        cells = salted.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    salted, cells = salted.drop("mix_spread"), cells.select(*cell, "n")
     bases = cells.withColumn(base, F.sum("n").over(W.partitionBy(is_null, name).orderBy(klass, salt)) - F.col("n")).drop("n")
     plan = bases.join(per_source.select(F.col("is_null").alias(is_null), F.col("source").alias(name), "source_size", "target"), [is_null, name])
     plan = written(plan.select(*cell, base, F.struct("source_size", "target").alias(drawn)), "mix-cells")
     ranked = salted.withColumn(rank, F.row_number().over(W.partitionBy(*cell).orderBy(size, key, tie)))
-    placed = ranked.join(small(plan), cell)
+    few = small(plan)
+    placed = ranked.join(plan if few is None else few, cell)
     offset = unit_hash(F.concat(F.lit(f"{seed}:"), F.col(name), F.when(F.col(is_null), "!").otherwise(""))) / F.lit(4294967296.0)
     rate = F.when(F.col(f"{drawn}.source_size") > 0, F.col(f"{drawn}.target") / F.col(f"{drawn}.source_size")).otherwise(0.0)
     last = F.floor(offset + (F.col(base) + F.col(rank)) * rate)
@@ -118,16 +126,16 @@ def text_hash(text: Column) -> Column:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of each document."""
-    sized = written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), text_hash(F.col("text")).alias("tie")), "mix-sizes")
-    drawn = mix(sized, "source", "size", "doc_id", "tie", **options)
+    sized = written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), text_hash(F.col("text")).alias("tie"), F.monotonically_increasing_id().alias("place")), "mix-sizes")
+    drawn = mix(sized, "source", "size", "doc_id", "tie", "place", **options)
     return drawn.select("doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).alias("taken"), "mix.copies")
 
 
 def mixed_stage(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; texts are split into words once."""
-    size, tie, copy = fresh(docs, "mix_size", "mix_tie", "mix_copy")
-    sized = written(docs.withColumns({size: text_size(F.col("text")), tie: text_hash(F.col("text"))}), "mix-sizes")
-    drawn = mix(sized, "source", size, "doc_id", tie, **options)
+    size, tie, place, copy = fresh(docs, "mix_size", "mix_tie", "mix_place", "mix_copy")
+    sized = written(docs.withColumns({size: text_size(F.col("text")), tie: text_hash(F.col("text")), place: F.monotonically_increasing_id()}), "mix-sizes")
+    drawn = mix(sized, "source", size, "doc_id", tie, place, **options)
     mixed = drawn.columns[-1]
     return drawn.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(f"{mixed}.copies").cast("int")))).select(*docs.columns)
 

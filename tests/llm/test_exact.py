@@ -207,6 +207,21 @@ def test_one_id_for_all(spark):
     assert mixed.taken.sum() == pytest.approx(1.5 * 1500 * 41, rel=0.01) and set(mixed.copies) == {1, 2}
 
 
+def test_rows_that_repeat_are_cut_once_more(spark):
+    rows = [(7, "a", "same words here")] * 4000 + [(k, "a", " ".join(["w"] * (k % 40))) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix_documents(frame, rows_per_cell=64).toPandas()
+    assert len(mixed) == 4400 and mixed.taken.sum() == pytest.approx(1.5 * mixed["size"].sum(), rel=0.01)
+    assert (mixed[mixed.doc_id == 7].copies - 1.5).abs().max() == 0.5
+
+
+def test_joins_by_shuffle_give_the_same_mix(docs, monkeypatch):
+    broadcast = mixing.mix_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    monkeypatch.setattr(mixing, "small", lambda df: None)
+    monkeypatch.setattr("arborium.skew.HOT_ROWS", 10)
+    assert mixing.mix_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True).equals(broadcast)
+
+
 def test_mix_is_near_and_stable(docs):
     a, b = (mixing.mix_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True) for _ in range(2))
     assert a.equals(b) and (a.taken <= 2 * a["size"]).all()
