@@ -85,25 +85,27 @@ def reroot_nearest(vertices: DataFrame, x: float, y: float, z: float) -> DataFra
 def prune_twigs(vertices: DataFrame, length: float) -> DataFrame:
     """Without twigs up to a length: a leaf with a branch point within it goes, back to the farthest such branch point.
 
-    Walks from the leaves over segments, whose number within the length is small; each step is one join.
+    Ways up within the length are joined to ways twice as long while there are any, and each leaf then takes the longest
+    that still fits, next the next longest: joins follow the logarithm of the number of branch points within the length.
     """
     graph = written(segment_graph(vertices).select("neuron_id", "head", "tail", "length"), "segment-graph")
     known = written(nodes(vertices).select(*KEY, "n_children", "is_branch", "parent"), "nodes")
     leaves = known.filter("n_children = 0 and parent <> -1")
-    branch = known.filter("is_branch").select("neuron_id", F.col("point_no").alias("head"), F.lit(True).alias("at_branch"))
-    front = leaves.select("neuron_id", F.col("point_no").alias("leaf"), F.col("point_no").alias("tail"), F.lit(0.0).alias("far"))
-    found = None
-    while True:
-        moved = front.join(graph, ["neuron_id", "tail"]).select("neuron_id", "leaf", "head", (F.col("far") + F.col("length")).alias("far")).filter(F.col("far") <= length)
-        step = written(moved.join(branch, ["neuron_id", "head"], "left"), "twig-walk")
-        if not step.head(1):
-            break
-        hits = step.filter("at_branch").select("neuron_id", "leaf", "head", "far")
-        found = hits if found is None else found.unionByName(hits)
-        front = step.select("neuron_id", "leaf", F.col("head").alias("tail"), "far")
-    if found is None:
+    branch = known.filter("is_branch").select("neuron_id", F.col("point_no").alias("head"))
+    within = graph.filter(F.col("length") <= length).join(branch, ["neuron_id", "head"], "left_semi")
+    ways = [written(within.select("neuron_id", F.col("tail").alias("at"), F.col("head").alias("to"), F.col("length").alias("far")), "ways")]
+    while ways[-1].head(1):
+        on = ways[-1].select("neuron_id", F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("far").alias("more"))
+        twice = ways[-1].join(on, ["neuron_id", "to"]).select("neuron_id", "at", F.col("beyond").alias("to"), (F.col("far") + F.col("more")).alias("far"))
+        ways.append(written(twice.filter(F.col("far") <= length), "ways"))
+    front = leaves.select("neuron_id", F.col("point_no").alias("leaf"), F.col("point_no").alias("at"), F.lit(0.0).alias("far"))
+    for way in reversed(ways[:-1]):
+        step = way.select("neuron_id", "at", "to", F.col("far").alias("more"))
+        fits = F.col("to").isNotNull() & (F.col("far") + F.col("more") <= length)
+        front = written(front.join(step, ["neuron_id", "at"], "left").select("neuron_id", "leaf", F.when(fits, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(fits, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far")), "twig-walk")
+    chosen = front.filter("at <> leaf").select("neuron_id", "leaf", F.col("at").alias("point_no"))
+    if not chosen.head(1):
         return vertices
-    chosen = found.groupBy("neuron_id", "leaf").agg(F.max_by("head", "far").alias("point_no"))
     stay = leaves.join(chosen.select("neuron_id", F.col("leaf").alias("point_no")), KEY, "left_anti").select(*KEY)
     roots = vertices.filter("parent = -1").select(*KEY)
     return keep(vertices, ancestors_of(vertices, stay.unionByName(chosen.select(*KEY)).unionByName(roots)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import remove, written
 
 KEY = ["neuron_id", "point_no"]
 
@@ -91,15 +91,65 @@ def segments(vertices: DataFrame) -> DataFrame:
     return edges(vertices).select(*KEY, "parent", "length").join(tails, KEY)
 
 
-def segment_graph(vertices: DataFrame) -> DataFrame:
-    """neuron_id, head, tail, n_points, length of each segment."""
-    runs = segments(vertices)
+def segment_graph(vertices: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """neuron_id, head, tail, n_points, length of each segment; runs is segments(vertices), if it is known already."""
+    runs = segments(vertices) if runs is None else runs
     inner = runs.select("neuron_id", F.col("point_no").alias("parent"), F.col("tail").alias("above"))
     first = runs.join(inner, ["neuron_id", "parent"], "left")
     head = F.max(F.when(F.col("above").isNull() | (F.col("above") != F.col("tail")), F.col("parent")))
     return first.groupBy("neuron_id", "tail").agg(head.alias("head"), (F.count(F.lit(1)) + 1).alias("n_points"), F.sum("length").alias("length"))
 
 
+def order_of(n: Column, low: Column, top: Column, n_top: Column, classical: bool) -> Column:
+    """Order of a branch with n children whose orders have this least and largest value, n_top times; of an end (n = 0) it is 1."""
+    rises = (n_top > 1) if classical else ((low == top) & (n > 1))
+    return F.when(n == 0, 1).otherwise(top + rises.cast("int"))
+
+
+def branch_orders(graph: DataFrame, classical: bool = False) -> DataFrame:
+    """neuron_id, node, strahler of the ends and branches of a segment graph (neuron_id, head, tail), by tree contraction.
+
+    A node is known once all its children are (rake). A node that waits for one child only is a function of that child's
+    order, a list of its values for all orders that are possible; lists of neighbours are composed, so what a node looks at
+    gets twice as far away each round (compress). Rounds follow the logarithm of the number of nodes, whatever the tree's shape.
+    """
+    tails = graph.select("neuron_id", F.col("tail").alias("node"), F.col("head").alias("up"))
+    roots = graph.select("neuron_id", F.col("head").alias("node")).distinct().join(tails, ["neuron_id", "node"], "left_anti").withColumn("up", F.lit(None).cast("long"))
+    nothing = {"known": F.lit(None).cast("int"), "ptr": F.lit(None).cast("long"), "way": F.lit(None).cast("array<int>")}
+    state = written(tails.unionByName(roots).withColumns(nothing), "orders")
+    most = max(2, state.count()).bit_length() + 1
+    values = F.array(*(F.lit(k) for k in range(1, most + 1)))
+    while state.filter("known is null").head(1):
+        by = state.filter("up is not null").groupBy("neuron_id", F.col("up").alias("node"), F.col("known").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("some"))
+        there = F.col("value").isNotNull()
+        seen = by.groupBy("neuron_id", "node").agg(
+            F.sum("n").alias("n"), F.min("value").alias("low"), F.max(F.when(there, F.struct("value", "n"))).alias("top"), F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("wait"), F.min(F.when(there, None).otherwise(F.col("some"))).alias("child")
+        )
+        met = state.join(seen, ["neuron_id", "node"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "wait": F.coalesce("wait", F.lit(0))})
+        top, n_top = F.coalesce("top.value", F.lit(0)), F.coalesce("top.n", F.lit(0))
+
+        def with_one(x: Column) -> Column:
+            """The order if the one child that isn't known has order x."""
+            low_, top_ = F.least(F.coalesce("low", x), x), F.greatest(top, x)  # noqa: B023
+            return F.least(order_of(F.col("n"), low_, top_, F.when(x > top, 1).when(x == top, n_top + 1).otherwise(n_top), classical), F.lit(most)).cast("int")  # noqa: B023
+
+        new = F.col("known").isNull() & F.col("ptr").isNull() & (F.col("wait") == 1)
+        stepped = met.withColumns({"known": F.coalesce("known", F.when(F.col("wait") == 0, order_of(F.col("n"), F.col("low"), top, n_top, classical)).cast("int")), "ptr": F.when(new, F.col("child")).otherwise(F.col("ptr")), "way": F.when(new, F.transform(values, with_one)).otherwise(F.col("way"))})
+        raked = written(stepped.select("neuron_id", "node", "up", "known", "ptr", "way"), "orders")
+        open_ = F.col("known").isNull() & F.col("ptr").isNotNull()
+        ahead = raked.select("neuron_id", F.col("node").alias("ptr"), F.col("known").alias("k2"), F.col("ptr").alias("p2"), F.col("way").alias("w2"))
+        looked = raked.filter(open_).join(ahead, ["neuron_id", "ptr"], "left")
+        further = F.col("k2").isNull() & F.col("p2").isNotNull()
+        moved = looked.select(
+            "neuron_id", "node", "up", F.when(F.col("k2").isNotNull(), F.element_at("way", F.col("k2"))).alias("known"), F.when(further, F.col("p2")).otherwise(F.col("ptr")).alias("ptr"), F.when(further, F.transform("w2", lambda y: F.element_at("way", y))).otherwise(F.col("way")).alias("way")
+        )
+        after = written(moved.unionByName(raked.filter(~open_)), "orders")
+        remove(raked)
+        remove(state)
+        state = after
+    return state.select("neuron_id", "node", F.col("known").cast("long").alias("strahler"))
+
+
 def strahler(vertices: DataFrame, classical: bool = False) -> DataFrame:
     """neuron_id, point_no, strahler of each vertex.
 
@@ -107,20 +157,9 @@ def strahler(vertices: DataFrame, classical: bool = False) -> DataFrame:
     largest goes on; classical asks for two largest children only. Inner points of a segment have the
     smaller order of its two ends.
     """
-    graph = written(segment_graph(vertices).select("neuron_id", "head", "tail"), "segment-graph")
-    parents = graph.groupBy("neuron_id", "head").agg(F.count(F.lit(1)).alias("n"))
-    order = written(graph.join(parents.select("neuron_id", F.col("head").alias("tail")), ["neuron_id", "tail"], "left_anti").select("neuron_id", F.col("tail").alias("node"), F.lit(1).cast("long").alias("strahler")), "strahler")
-    ready = order
-    while ready.head(1):
-        known = graph.join(order.select("neuron_id", F.col("node").alias("tail"), "strahler"), ["neuron_id", "tail"])
-        ends = known.groupBy("neuron_id", "head").agg(F.count(F.lit(1)).alias("have"), F.max("strahler").alias("top"), F.min("strahler").alias("low"))
-        tops = known.join(ends.select("neuron_id", "head", "top"), ["neuron_id", "head"]).groupBy("neuron_id", "head").agg(F.count_if(F.col("strahler") == F.col("top")).alias("n_top"))
-        full = ends.join(parents, ["neuron_id", "head"]).filter("have = n").join(tops, ["neuron_id", "head"])
-        rises = (F.col("n_top") > 1) if classical else ((F.col("low") == F.col("top")) & (F.col("n") > 1))
-        found = full.select("neuron_id", F.col("head").alias("node"), (F.col("top") + rises.cast("long")).alias("strahler"))
-        ready = written(found.join(order, ["neuron_id", "node"], "left_anti"), "strahler")
-        order = written(order.unionByName(ready), "strahler")
-    runs = segments(vertices)
+    runs = written(segments(vertices).select(*KEY, "parent", "length", "tail"), "segments")
+    graph = written(segment_graph(vertices, runs).select("neuron_id", "head", "tail"), "segment-graph")
+    order = branch_orders(graph, classical)
     tails = order.select("neuron_id", F.col("node").alias("tail"), F.col("strahler").alias("t"))
     heads = graph.join(order.select("neuron_id", F.col("node").alias("head"), F.col("strahler").alias("h")), ["neuron_id", "head"]).select("neuron_id", "tail", "h")
     inside = runs.join(tails, ["neuron_id", "tail"]).join(heads, ["neuron_id", "tail"]).select(*KEY, F.when(F.col("point_no") == F.col("tail"), F.col("t")).otherwise(F.least("t", "h")).alias("inner"))
