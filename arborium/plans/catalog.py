@@ -658,3 +658,6 @@ def combine_meshes(faces, vertices, spark, sf_dir):
 @on_meshes("box_mesh_area", ", b AS (SELECT mesh_id, max(x) - min(x) AS a, max(y) - min(y) AS b, max(z) - min(z) AS c FROM mv GROUP BY mesh_id) SELECT mesh_id, round(2 * (a * b + b * c + a * c), 4) AS area FROM b")
 def box_mesh_area(faces, vertices, spark, sf_dir):
     return rounded(U.summary(*U.box_mesh(G.bounding_box(vertices, "mesh_id"))), "area").select("mesh_id", "area")
+
+
+from . import orders  # noqa: E402, F401  registers its queries here
