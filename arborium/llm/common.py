@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -96,6 +97,9 @@ def keep_only(*tables: dict) -> None:
         if all(table is not t for t in tables):
             table.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc: freed memory goes back to the machine
+        trim(0)
     KEPT.extend(t for t in tables if all(t is not k for k in KEPT))
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import utf8
-from .tokens import Encoder, default_path
+from .tokens import CACHED_WORDS, FEWER_WORDS, Encoder, default_path
 
 CONTEXT = 2048
 TIERS = (2048, 1024, 512, 256)
@@ -120,13 +120,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(",")]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, run_tokens: int = RUN_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, run_tokens: int = RUN_TOKENS, step_tokens: int = STEP_TOKENS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """A row for each piece of a document, as SCHEMA says."""
     path = tokenizer or default_path()
     context = tiers[0]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder.at(path), TaskContext.get().partitionId() << 40
+        encoder, base = Encoder.at(path, cached_words), TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         pieces: list[Piece] = []
         tokens, sequence, step = 0, 0, 0
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
 
 
 def packed_stage(docs: DataFrame) -> DataFrame:
-    return pack(docs)
+    return pack(docs, cached_words=FEWER_WORDS)

@@ -18,6 +18,8 @@ END_ID = 1
 #: two, where a dict would double. Longer words are encoded each time.
 CACHED_WORDS, CACHED_PIECES = 690_000, 345_000
 CACHED_BYTES = 64
+#: As many where a worker's memory is shared with what other stages left in it.
+FEWER_WORDS = 172_000
 
 # Fixed value: how the tokenizer's pre-tokenizer cuts ASCII text, lower-cased.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -32,12 +34,12 @@ class Pieces(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model = model
+        self.model, self.most = model, CACHED_PIECES
 
     def __missing__(self, piece: str) -> bytes:
         ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
         if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -55,15 +57,17 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = Pieces(self.tokenizer.model)
         self.end = END_ID.to_bytes(4, "little")
-        self.plain = path == default_path()
+        self.plain, self.most = path == default_path(), CACHED_WORDS
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        """The worker's encoder for a file: read once, kept between tasks."""
+    def at(cls, path: str, words: int = CACHED_WORDS) -> Encoder:
+        """The worker's encoder for a file: read once, kept between tasks; it keeps so many words, and half as many pieces."""
         if path not in cls.made:
             cls.made[path] = cls(path)
-        keep_only(cls.made[path], cls.made[path].pieces)
-        return cls.made[path]
+        found = cls.made[path]
+        found.most, found.pieces.most = words, min(CACHED_PIECES, words // 2)
+        keep_only(found, found.pieces)
+        return found
 
     def cut(self, word: bytes) -> list[str]:
         """The pieces that the tokenizer cuts a word into."""
@@ -80,7 +84,7 @@ class Encoder(dict):
         else:
             ids = b"".join(map(self.pieces.__getitem__, self.cut(word)))
         if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids

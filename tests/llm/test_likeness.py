@@ -24,7 +24,7 @@ def test_stage_drops_copies_at_082(spark):
     assert 0.815 < share < 0.825
     assert {r.doc_id for r in corpus_pipeline.drop_close_copies(spark, frame, "").collect()} == set(range(0, 40, 2))
     assert neardup.classify(frame).filter("kept").count() == 40
-    assert dict(corpus_pipeline.WHOLE_STAGES)["near_duplicates"] is corpus_pipeline.drop_close_copies
+    assert dict(corpus_pipeline.STAGES)["near_duplicates"] is corpus_pipeline.drop_close_copies
 
 
 def test_stage_keeps_what_is_less_alike(spark):
