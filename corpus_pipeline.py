@@ -2,7 +2,7 @@
 
 Defined results: null and empty texts pass toxicity and near-duplicates (documents without words or without an id are never
 copies), have no personal data, count no words, so that mixing takes none of them in a source of positive size, and rows that
-repeat an id and a text are one document after near-duplicates; an empty table gives an empty table; further columns are
+repeat an id and a text are one document after near-duplicates, other texts of that id are others; an empty table gives an empty table; further columns are
 carried along up to packing.
 """
 
@@ -49,9 +49,6 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: The same; kept for those who call run_whole().
-WHOLE_STAGES = STAGES
-
 #: Token ids, MinHash groups and the fitted lexicon are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -61,7 +58,3 @@ def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return stages[-1][1](spark, docs, sf_dir)
-
-
-def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, WHOLE_STAGES)
