@@ -96,7 +96,7 @@ def unused_levels(metadata: DataFrame, levels: DataFrame, field: str) -> DataFra
     return levels.join(metadata.select(F.col(field).alias("value")).distinct(), "value", "left_semi")
 
 
-def differing(a: DataFrame, b: DataFrame, fields: list[str], tolerance: float = 1.5e-8) -> DataFrame:
+def differing(a: DataFrame, b: DataFrame, fields: list[str], tolerance: float = 1e-6) -> DataFrame:
     """neuron_id of the members that aren't equal: other points or parents, or a field whose mean relative difference exceeds a tolerance."""
     named = b.select(ID, "point_no", F.col("parent").alias("parent_b"), *(F.col(f).alias(f"{f}_b") for f in fields))
     both = a.select(ID, "point_no", "parent", *fields).join(named, [ID, "point_no"], "full")

@@ -660,4 +660,4 @@ def box_mesh_area(faces, vertices, spark, sf_dir):
     return rounded(U.summary(*U.box_mesh(G.bounding_box(vertices, "mesh_id"))), "area").select("mesh_id", "area")
 
 
-from . import orders  # noqa: E402, F401  registers its queries here
+from . import orders, space  # noqa: E402, F401  these register their queries here
