@@ -100,6 +100,14 @@ def all_cells(spark, dims: Sequence[int]) -> DataFrame:
     return index.select(*(v.cast("long").alias(c) for c, v in from_linear(F.col("index"), dims).items()))
 
 
+def empty_cells(voxels: DataFrame, by: str, dims: Sequence[int]) -> DataFrame:
+    """by, n: the voxels of each grid that the table has no value for, counted without making them."""
+    inside = voxels.filter(F.col("value").isNotNull() & (F.col("i").between(1, dims[0])) & (F.col("j").between(1, dims[1])) & (F.col("k").between(1, dims[2])))
+    held = inside.select(by, *CELL).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("held"))
+    total = dims[0] * dims[1] * dims[2]
+    return voxels.select(by).distinct().join(held, by, "left").select(by, (F.lit(total).cast("long") - F.coalesce("held", F.lit(0))).alias("n"))
+
+
 def material_table(labels: DataFrame, names: DataFrame) -> DataFrame:
     """id, name, level, n: the materials (id, name, level) of a label grid with their numbers of voxels, 0 for those without."""
     return names.join(labels.groupBy(F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n")), "level", "left").select("id", "name", "level", F.coalesce("n", F.lit(0)).alias("n"))

@@ -44,6 +44,35 @@ def spine_length(vertices: DataFrame) -> DataFrame:
     return ways.groupBy("neuron_id").agg(F.coalesce(F.max("way"), F.lit(0.0)).alias("spine_length"))
 
 
+def spine(vertices: DataFrame, from_root: bool = False) -> DataFrame:
+    """neuron_id, point_no of the vertices on the longest way along the tree between two ends, or with from_root between the root and an end.
+
+    Of equally long ways the one that turns at the smallest vertex counts, and of its arms those to the smallest ends. A neuron's
+    trees compete with each other.
+    """
+    far = to_root(vertices).select(*KEY, "root", "dist")
+    placed = written(vertices.join(far, KEY), "placed")
+    known = nodes(placed).select(*KEY, "is_end", "n_children", "parent", "dist", "root")
+    leaf = F.struct(F.col("dist").alias("dist"), (-F.col("point_no")).alias("minus"))
+    reach = written(subtree_max(placed, leaf).join(placed.select(*KEY, "parent", "dist"), KEY), "reach")
+    arms = reach.filter("parent <> -1").select("neuron_id", F.col("parent").alias("point_no"), F.col("best.dist").alias("far"), (-F.col("best.minus")).alias("leaf"))
+    first = F.max(F.struct(F.col("far"), (-F.col("leaf")).alias("minus"))).alias("one")
+    top = written(arms.groupBy(*KEY).agg(first), "arms")
+    others = arms.join(top, KEY).filter(F.col("leaf") != -F.col("one.minus")).groupBy(*KEY).agg(F.max(F.struct(F.col("far"), (-F.col("leaf")).alias("minus"))).alias("two"))
+    at = known.join(top, KEY).join(others, KEY, "left")
+    single, double = F.col("one.far") - F.col("dist"), F.col("one.far") + F.col("two.far") - 2 * F.col("dist")
+    way = F.when(F.col("parent") == -1, single) if from_root else F.when(F.col("two").isNotNull(), double).when(F.col("is_end") & (F.col("parent") == -1), single)
+    ways = at.withColumn("way", way).filter("way is not null")
+    chosen = ways.groupBy("neuron_id").agg(F.max(F.struct(F.col("way"), (-F.col("point_no")).alias("minus"), F.col("one"), F.col("two"))).alias("m"))
+    apex = written(chosen.select("neuron_id", (-F.col("m.minus")).alias("apex"), (-F.col("m.one.minus")).alias("a"), (F.lit(None) if from_root else -F.col("m.two.minus")).cast("long").alias("b")), "apexes")
+    ends = apex.select("neuron_id", F.explode(F.array("a", "b")).alias("point_no")).filter("point_no is not null")
+    marked = placed.join(ends.distinct().withColumn("marked", F.lit(True)), KEY, "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    above = subtree_max(marked, F.col("marked")).filter("best").select(*KEY)
+    turn = apex.select("neuron_id", F.col("apex").alias("point_no")).join(placed.select(*KEY, F.col("dist").alias("turn")), KEY).select("neuron_id", F.col("point_no").alias("apex"), "turn")
+    on = above.join(placed.select(*KEY, "dist"), KEY).join(turn, "neuron_id").filter((F.col("dist") > F.col("turn")) | (F.col("point_no") == F.col("apex")))
+    return on.select(*KEY)
+
+
 def sholl(vertices: DataFrame, step: float, end: float, centre: DataFrame | None = None) -> DataFrame:
     """neuron_id, radius, crossings of spheres around a centre (the mean of the tree's vertices unless given).
 
@@ -112,15 +141,30 @@ def segment_distance(pairs: DataFrame, small: float = 1e-6) -> Column:
     return bind(bind(start, ways), best)
 
 
-def contact_edges(vertices: DataFrame, name: str, p: str) -> DataFrame:
-    e = edges(vertices)
+def main_trees(vertices: DataFrame) -> DataFrame:
+    """The vertices of each neuron's largest tree; ties go to the smaller root."""
+    far = written(to_root(vertices).select(*KEY, "root"), "tree-roots")
+    sizes = far.groupBy("neuron_id", "root").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy("neuron_id").agg(F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("m")).select("neuron_id", (-F.col("m.minus")).alias("root"))
+    return vertices.join(far.join(best, ["neuron_id", "root"], "left_semi").select(*KEY), KEY, "left_semi")
+
+
+def contact_edges(vertices: DataFrame, name: str, p: str, bounds: tuple[float, ...] | None = None, main: bool = False) -> DataFrame:
+    """Edges of all trees, or of the main ones; with bounds (x0, x1, y0, y1, z0, z1) those whose start lies in the box."""
+    e = edges(main_trees(vertices) if main else vertices)
+    if bounds:
+        e = e.filter(" and ".join(f"p{c} between {float(bounds[2 * k])!r} and {float(bounds[2 * k + 1])!r}" for k, c in enumerate("xyz")))
     return e.select(F.col("neuron_id").alias(name), F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")).alias(f"{p}0"), F.struct("x", "y", "z").alias(f"{p}1"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
 
 
-def potential_synapses(a: DataFrame, b: DataFrame, s: float, longest: float = 0.5) -> DataFrame:
-    """a_id, b_id, n: pairs of edges within s of each other, among pairs whose heads lie in a box of half-width 2 longest + 2 s."""
+def potential_synapses(a: DataFrame, b: DataFrame, s: float, longest: float = 0.5, bounds: tuple[float, ...] | None = None, main: bool = False) -> DataFrame:
+    """a_id, b_id, n: pairs of edges within s of each other, among pairs whose heads lie in a box of half-width 2 longest + 2 s.
+
+    Pairs with an edge longer than longest may be missed, as they are where the box is a screen; trees resampled to
+    steps of that length have none. bounds and main choose edges as contact_edges() says.
+    """
     half = 2 * longest + 2 * s
-    pairs = grid_join(contact_edges(a, "a_id", "p"), contact_edges(b, "b_id", "q"), half, box=True)
+    pairs = grid_join(contact_edges(a, "a_id", "p", bounds, main), contact_edges(b, "b_id", "q", bounds, main), half, box=True)
     return pairs.withColumn("gap", segment_distance(pairs)).filter(F.col("gap") <= s).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -585,8 +585,7 @@ def mask_by_name(g):
 
 @on_grids("empty_cells", "SELECT image_id, 180 - count(*) AS n FROM g GROUP BY image_id")
 def empty_cells(g):
-    each = g.select("image_id").distinct().crossJoin(F.broadcast(I.all_cells(g.sparkSession, D.GRID_DIMS)))
-    return each.join(g, ["image_id", *I.CELL], "left").groupBy("image_id").agg(F.count_if(F.col("value").isNull()).alias("n"))
+    return I.empty_cells(g, "image_id", D.GRID_DIMS)
 
 
 # Surfaces.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import graphs as R
+from ..operators import morphometry as M
 from ..operators import ordering as O
 from ..operators import resampling as P
 from ..operators import topology as T
-from .catalog import DEPTH, EDGE, NODE, query, rounded
+from .catalog import ANCESTOR, CONTACT, DEPTH, EDGE, NODE, halves, query, rounded
 
 #: Trees in depth-first order by the lists of points on the way from the root.
 WALK = "/*rec*/ q AS (SELECT neuron_id, point_no, point_no AS root, [point_no] AS path FROM v WHERE parent = -1 UNION ALL SELECT v.neuron_id, v.point_no, q.root, list_append(q.path, v.point_no) FROM q JOIN v ON v.neuron_id = q.neuron_id AND v.parent = q.point_no), walk AS (SELECT neuron_id, point_no, root, len(path) - 1 AS depth, row_number() OVER (PARTITION BY neuron_id, root ORDER BY path) - 1 AS pre, count(*) OVER (PARTITION BY neuron_id, root) AS tree_size FROM q)"
@@ -78,3 +81,25 @@ STEP = 10.0
  FROM num LEFT JOIN so ON num.nth = 1 AND so.neuron_id = num.neuron_id AND so.root = num.root AND so.seg_id = num.seg_id AND so.pos = 1 LEFT JOIN num h ON h.neuron_id = so.neuron_id AND h.point_no = so.point_no""", "forest")
 def resample_tree(v):
     return rounded(P.resample_tree(v, STEP), "x", "y", "z", "w")
+
+
+SPINE = f"""WITH {EDGE}, {NODE}, {DEPTH}, {ANCESTOR.removeprefix('/*rec*/ ')}, ends AS (SELECT g.neuron_id, g.point_no, t.dist FROM g JOIN t ON t.neuron_id = g.neuron_id AND t.point_no = g.point_no WHERE g.degree = 1),
+ ea AS (SELECT a.neuron_id, a.point_no, a.anc, ends.dist, t.dist AS at FROM a JOIN ends ON ends.neuron_id = a.neuron_id AND ends.point_no = a.point_no JOIN t ON t.neuron_id = a.neuron_id AND t.point_no = a.anc),
+ p AS (SELECT l.neuron_id, l.point_no AS a, r.point_no AS b, min(l.dist + r.dist - 2 * l.at) AS d, arg_max(l.anc, l.at) AS apex, max(l.at) AS turn FROM ea l JOIN ea r ON l.neuron_id = r.neuron_id AND l.anc = r.anc AND l.point_no < r.point_no GROUP BY ALL),
+ best AS (SELECT neuron_id, a, b, apex, turn FROM p QUALIFY row_number() OVER (PARTITION BY neuron_id ORDER BY d DESC, apex, a, b) = 1)
+ SELECT DISTINCT a.neuron_id, a.anc AS point_no FROM best JOIN a ON a.neuron_id = best.neuron_id AND a.point_no IN (best.a, best.b) JOIN t ON t.neuron_id = a.neuron_id AND t.point_no = a.anc WHERE t.dist > best.turn OR a.anc = best.apex"""
+
+
+@query("spine_vertices", SPINE, "caterpillar")
+def spine_vertices(v):
+    return M.spine(v)
+
+
+#: Contacts between main trees, of edges that start in a box.
+BOX = (0.0, 60.0, 0.0, 80.0, 0.0, 12.0)
+MAIN = f"{re.sub(r'\bt\b', 'dep', DEPTH)}, size AS (SELECT neuron_id, root, count(*) AS n FROM dep GROUP BY ALL), tops AS (SELECT neuron_id, root, row_number() OVER (PARTITION BY neuron_id ORDER BY n DESC, root) AS k FROM size), e2 AS (SELECT e.* FROM e JOIN dep ON dep.neuron_id = e.neuron_id AND dep.point_no = e.point_no JOIN tops ON tops.neuron_id = dep.neuron_id AND tops.root = dep.root AND tops.k = 1 WHERE " + " AND ".join(f"p{c} BETWEEN {BOX[2 * k]} AND {BOX[2 * k + 1]}" for k, c in enumerate("xyz")) + ")"
+
+
+@query("potential_synapses_main", CONTACT.replace(f"WITH {EDGE}", f"WITH {EDGE}, {MAIN}").replace("FROM e a JOIN e b", "FROM e2 a JOIN e2 b"), "forest")
+def potential_synapses_main(v):
+    return M.potential_synapses(*halves(v), 4.0, bounds=BOX, main=True)

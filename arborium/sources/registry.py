@@ -71,9 +71,26 @@ SCHEMAS = {
     "vertices": "vertex long, x double, y double, z double",
     "faces": "region string, face long, v1 long, v2 long, v3 long",
     "landmarks": "set_id long, name string, x double, y double, z double",
-    "image": "i long, j long, k long, value double",
+    "image": "i long, j long, k long, more array<long>, value double",
 }
 
+#: Voxels of an image that become rows at a time; further axes than three are indices in column more.
+SLAB = 1 << 18
+
+
+def slabs(values):
+    """Tables (i, j, k, more, value) of an image of one to any number of dimensions, some voxels at a time; missing axes have index 1."""
+    import numpy as np
+
+    flat, names = values.ravel(order="F"), ("i", "j", "k")
+    for first in range(0, flat.size, SLAB):
+        at = np.unravel_index(np.arange(first, min(first + SLAB, flat.size)), values.shape, order="F")
+        ones = np.ones(len(at[0]), np.int64)
+        table = pd.DataFrame({c: at[n].astype(np.int64) + 1 if n < len(at) else ones for n, c in enumerate(names)})
+        table["more"] = list(np.stack([a + 1 for a in at[3:]], 1)) if len(at) > 3 else [[]] * len(table)
+        table["value"] = flat[first : first + SLAB].astype(float)
+        yield table
+
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """neuron_id, content, md5 of each file; names must differ."""
@@ -100,11 +117,10 @@ def parsed(found: DataFrame, form: str, part: str, omit_failures: bool = False)
                 if part in ("vertices", "faces"):
                     out = out[part == "faces"]
                 if part == "image":
-                    values = out[1] if isinstance(out, tuple) else out
-                    import numpy as np
-
-                    at = np.indices(values.shape).reshape(3, -1) + 1
-                    out = zip(*at.tolist(), values.ravel().astype(float).tolist(), strict=True)
+                    for table in slabs(out[1] if isinstance(out, tuple) else out):
+                        table.insert(0, "neuron_id", name)
+                        yield table
+                    continue
                 table = pd.DataFrame(list(out), columns=names)
                 table.insert(0, "neuron_id", name)
                 yield table

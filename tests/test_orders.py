@@ -8,6 +8,7 @@ import pytest
 from arborium import ranking
 from arborium.operators import editing as E
 from arborium.operators import graphs as R
+from arborium.operators import morphometry as M
 from arborium.operators import ordering as O
 from arborium.operators import topology as T
 
@@ -227,3 +228,36 @@ def test_twigs_by_doubling(spark, forests, length):
                 want.add((n, p))
                 p = tree[p]
     assert got == want
+
+
+@pytest.mark.parametrize("from_root", [False, True])
+def test_spine(spark, forests, from_root):
+    r = random.Random(9)
+    at = {(n, p): [r.uniform(0, 100) for _ in "xyz"] for n, tree in forests.items() for p in tree}
+    rows = [(n, p, q, *at[n, p]) for n, tree in forests.items() for p, q in tree.items()]
+    got = collections.defaultdict(set)
+    for x in M.spine(spark.createDataFrame(rows, "neuron_id long, point_no long, parent long, x double, y double, z double"), from_root).collect():
+        got[x.neuron_id].add(x.point_no)
+    for n, tree in forests.items():
+        sides = collections.defaultdict(dict)
+        for p, q in tree.items():
+            if q != -1:
+                sides[p][q] = sides[q][p] = sum((a - b) ** 2 for a, b in zip(at[n, p], at[n, q], strict=True)) ** 0.5
+        best, way = -1.0, set()
+        for start in (p for p in tree if (tree[p] == -1 if from_root else len(sides[p]) == 1)):
+            stack = [(start, None, 0.0, [start])]
+            while stack:
+                p, before, far, path = stack.pop()
+                if p != start and len(sides[p]) == 1 and far > best + 1e-9:
+                    best, way = far, set(path)
+                stack.extend((q, p, far + d, [*path, q]) for q, d in sides[p].items() if q != before)
+        assert got[n] == way
+
+
+def test_main_trees(spark, forests):
+    got = {(r.neuron_id, r.point_no) for r in M.main_trees(frame(spark, forests)).collect()}
+    want = set()
+    for n, tree in forests.items():
+        best = min((p for p, q in tree.items() if q == -1), key=lambda p: (-len(walked(tree, p)), p))
+        want |= {(n, p) for p in walked(tree, best)}
+    assert got == want

@@ -115,3 +115,13 @@ def test_morphml():
 def test_vtk():
     rows = [(1, 2, 0.0, 0.0, 0.0, 1.0, -1), (2, 2, 1.0, 0.0, 0.0, 1.0, 1)]
     assert "LINES 1 3\n2 0 1" in formats.vtk_text(rows)
+
+
+@pytest.mark.parametrize("shape", [(5,), (3, 4), (2, 3, 4), (2, 3, 2, 3), (2, 2, 2, 2, 2)])
+def test_images_of_any_number_of_dimensions(spark, tmp_path, monkeypatch, shape):
+    values = np.arange(np.prod(shape), dtype=np.int32).reshape(shape)
+    (tmp_path / "a.nrrd").write_bytes(formats.nrrd_bytes(values, (1.0,) * len(shape)))
+    monkeypatch.setattr(registry, "SLAB", 7)
+    got = {(r.i, r.j, r.k, *r.more): r.value for r in registry.read(spark, f"file://{tmp_path}/a.nrrd", "nrrd", "image").collect()}
+    full = values.reshape(*shape, *(1,) * max(0, 3 - len(shape)))
+    assert got == {tuple(int(v) + 1 for v in at): float(full[at]) for at in np.ndindex(full.shape)}
