@@ -160,28 +160,30 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     own = written(hosts.join(seeds, "host", "left").select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")), "host-seeds")
     start = written(starts(own), "host-starts")
     kin, hot_domains = families(own.select("host"))
-    ties = kin.select("host", F.lit(family).alias("w_out"), F.lit(family).alias("w_in"))
+    tie_weights = kin.select("host", F.lit(family).alias("w_out"), F.lit(family).alias("w_in"))
     out_of = links.select(F.col("src").alias("host"), F.col("weight").alias("w_out"), F.lit(0.0).alias("w_in"))
     into = links.select(F.col("dst").alias("host"), F.lit(0.0).alias("w_out"), F.col("weight").alias("w_in"))
-    total = written(ties.unionByName(out_of).unionByName(into).groupBy("host").agg(F.sum("w_out").alias("w_out"), F.sum("w_in").alias("w_in")), "host-weights")
+    total = written(tie_weights.unionByName(out_of).unionByName(into).groupBy("host").agg(F.sum("w_out").alias("w_out"), F.sum("w_in").alias("w_in")), "host-weights")
     along = links.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("weight").alias("along"), F.lit(0.0).alias("against"))
     against = links.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("along"), F.col("weight").alias("against"))
-    both = written(along.unionByName(against).groupBy("host", "to").agg(F.sum("along").alias("along"), F.sum("against").alias("against")), "host-moves")
+    # What a host passes on of its scores, along and against: to a linked host, and to a domain as a whole.
+    share = lambda c, w: F.coalesce(F.col(c) / F.nullif(F.col(w), F.lit(0.0)), F.lit(0.0))
+    summed = along.unionByName(against).groupBy("host", "to").agg(F.sum("along").alias("along"), F.sum("against").alias("against"))
+    both = written(summed.join(total, "host").select("host", "to", share("along", "w_out").alias("along"), share("against", "w_in").alias("against")), "host-moves")
+    ties = written(kin.join(total, "host").select("host", "domain", "n", (family / F.col("w_out")).alias("along"), (family / F.col("w_in")).alias("against")), "host-ties")
     counts = both.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     hubs = hot_of(counts, both.count())
     linked, tied = bool(both.head(1)), bool(kin.head(1))
     state = start
     for _ in range(rounds if linked or tied else 0):
-        # what a host passes on for a weight of 1, either way
-        sent = state.join(total, "host").select("host", *((F.col(c) / F.nullif(F.col(w), F.lit(0.0))).alias(c) for w, names in (("w_out", ALONG), ("w_in", AGAINST)) for c in names))
         got = []
+        passed = [(F.col(c) * F.col(way)).alias(c) for way, names in (("along", ALONG), ("against", AGAINST)) for c in names]
         if linked:
-            moved = join_spread(both, sent, "host", hot=hubs)
-            got.append(moved.select(F.col("to").alias("host"), *(F.coalesce(F.col(c) * F.col(way), F.lit(0.0)).alias(c) for way, names in (("along", ALONG), ("against", AGAINST)) for c in names)))
+            got.append(join_spread(both, state, "host", hot=hubs).select(F.col("to").alias("host"), *passed))
         if tied:
-            there = kin.join(sent, "host")
+            there = ties.join(state, "host").select("host", "domain", "n", *passed)
             sums = there.groupBy("domain").agg(*(F.sum(c).alias(f"{c}_sum") for c in SCORES))
-            got.append(join_spread(there, sums, "domain", hot=hot_domains).select("host", *((family * (F.col(f"{c}_sum") - F.col(c)) / (F.col("n") - 1)).alias(c) for c in SCORES)))
+            got.append(join_spread(there, sums, "domain", hot=hot_domains).select("host", *(((F.col(f"{c}_sum") - F.col(c)) / (F.col("n") - 1)).alias(c) for c in SCORES)))
         received = (got[0] if len(got) == 1 else got[0].unionByName(got[1])).groupBy("host").agg(*(F.sum(c).alias(f"{c}_in") for c in SCORES))
         after = start.join(received, "host", "left").select("host", *(((1 - damping) * F.col(c) + damping * F.coalesce(f"{c}_in", F.lit(0.0))).alias(c) for c in SCORES))
         new = written(after, "host-scores")
@@ -189,7 +191,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             remove(state)
         state = new
     out = written(own.join(state, "host"), "host-scored")
-    for table in {id(t): t for t in (links, own, start, kin, total, both, state)}.values():
+    for table in {id(t): t for t in (links, own, start, kin, total, both, ties, state)}.values():
         remove(table)
     return out
 
