@@ -40,7 +40,7 @@ def oriented(points: np.ndarray, pairs: list[tuple[int, int]], diameters: np.nda
 def amira_sections(data: bytes) -> dict[str, np.ndarray]:
     """Data sections of an AmiraMesh file by name: ASCII, binary of either byte order, byte runs or zlib."""
     data = plain(data)
-    start = re.search(rb"^@1\s*$|\n@1\s*\n", data, re.M)
+    start = re.search(rb"^@1[ \t]*(?:#[^\n]*)?\r?$", data, re.M)
     head = data[: start.start() if start else len(data)].decode("latin-1")
     order = "<" if "LITTLE-ENDIAN" in head.split("\n", 1)[0] else ">"
     binary = "BINARY" in head.split("\n", 1)[0].upper()
@@ -48,8 +48,8 @@ def amira_sections(data: bytes) -> dict[str, np.ndarray]:
     kinds = {"byte": "u1", "short": "i2", "ushort": "u2", "int": "i4", "float": "f4", "double": "f8"}
     out, rest = {}, data
     for place, kind, width, name, tag, packing in re.findall(r"(\w+)\s*\{\s*(\w+)(?:\[(\d+)\])?\s+(\w+)\s*\}\s*=?\s*@(\d+)(?:\((\w+,\d+)\))?", head):
-        count, wide = sizes[place], int(width or 1)
-        mark = re.search(rb"(?:^|\n)@" + tag.encode() + rb"\s*\n", rest)
+        count, wide = next(sizes[n] for n in (place, f"n{place}", "nEdges") if n in sizes), int(width or 1)
+        mark = re.search(rb"(?:^|\n)@" + tag.encode() + rb"[ \t]*(?:#[^\n]*)?\r?\n", rest)
         body = rest[mark.end() :]
         if packing.startswith("HxByteRLE"):
             values = np.frombuffer(byte_runs(body[: int(packing.split(",")[1])], count * wide), "u1")
