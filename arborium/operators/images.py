@@ -119,3 +119,10 @@ def masked_by_name(voxels: DataFrame, mask: DataFrame, by: str, names: DataFrame
     if missing := [w for w in wanted if w not in level]:
         raise ValueError(f"no such materials: {missing}")
     return masked(voxels, mask, by, [level[w] for w in wanted], invert)
+
+
+def differing(a: DataFrame, b: DataFrame, by: str, tolerance: float = 1e-6) -> DataFrame:
+    """by of the grids that aren't equal: one has a voxel that the other lacks, or the mean relative difference of values exceeds a tolerance."""
+    both = a.select(by, *CELL, F.col("value").cast("double").alias("va")).join(b.select(by, *CELL, F.col("value").cast("double").alias("vb")), [by, *CELL], "full")
+    off = (F.count_if(F.col("va").isNull() != F.col("vb").isNull()) > 0) | F.coalesce(F.sum(F.abs(F.col("va") - F.col("vb"))) > tolerance * F.greatest(F.sum(F.abs("va")), F.lit(tolerance)), F.lit(False))
+    return both.groupBy(by).agg(off.alias("off")).filter("off").select(by)

@@ -7,11 +7,13 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import graphs as R
+from ..operators import images as I
 from ..operators import morphometry as M
 from ..operators import ordering as O
 from ..operators import resampling as P
 from ..operators import topology as T
-from .catalog import ANCESTOR, CONTACT, DEPTH, EDGE, NODE, halves, query, rounded
+from ..operators import vector_clouds as V
+from .catalog import ANCESTOR, CONTACT, DEPTH, EDGE, NODE, halves, on_grids, query, rounded, strahler_sql
 
 #: Trees in depth-first order by the lists of points on the way from the root.
 WALK = "/*rec*/ q AS (SELECT neuron_id, point_no, point_no AS root, [point_no] AS path FROM v WHERE parent = -1 UNION ALL SELECT v.neuron_id, v.point_no, q.root, list_append(q.path, v.point_no) FROM q JOIN v ON v.neuron_id = q.neuron_id AND v.parent = q.point_no), walk AS (SELECT neuron_id, point_no, root, len(path) - 1 AS depth, row_number() OVER (PARTITION BY neuron_id, root ORDER BY path) - 1 AS pre, count(*) OVER (PARTITION BY neuron_id, root) AS tree_size FROM q)"
@@ -103,3 +105,18 @@ MAIN = f"{re.sub(r'\bt\b', 'dep', DEPTH)}, size AS (SELECT neuron_id, root, coun
 @query("potential_synapses_main", CONTACT.replace(f"WITH {EDGE}", f"WITH {EDGE}, {MAIN}").replace("FROM e a JOIN e b", "FROM e2 a JOIN e2 b"), "forest")
 def potential_synapses_main(v):
     return M.potential_synapses(*halves(v), 4.0, bounds=BOX, main=True)
+
+
+@query("topology_features", f"{strahler_sql()} SELECT o.neuron_id, o.point_no, round(t.dist, 4) AS distance, max(strahler) OVER (PARTITION BY o.neuron_id) - strahler AS reversed_order FROM o JOIN t ON t.neuron_id = o.neuron_id AND t.point_no = o.point_no", "ternary")
+def topology_features(v):
+    return rounded(V.topology_features(v), "distance")
+
+
+@query("cloud_subset", "SELECT neuron_id, count(*) AS n FROM v WHERE NOT (x > 20 AND y < 60) GROUP BY neuron_id", "heap")
+def cloud_subset(v):
+    return V.subset(v, (F.col("x") > 20) & (F.col("y") < 60), invert=True).groupBy("neuron_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_grids("image_differing", "SELECT image_id FROM g GROUP BY image_id HAVING sum(CASE WHEN image_id % 3 = 0 AND value > 1 THEN 1 ELSE 0 END) > 0")
+def image_differing(g):
+    return I.differing(g, g.withColumn("value", F.when((F.col("image_id") % 3 == 0) & (F.col("value") > 1), F.col("value") + 1).otherwise(F.col("value"))), "image_id")

@@ -51,3 +51,16 @@ def from_tangents(cloud: DataFrame, length: float) -> DataFrame:
     both = cloud.select("*", side)
     n = 2 * (F.col("point_no") - 1) + F.when(F.col("side") < 0, 1).otherwise(2)
     return both.select("neuron_id", n.alias("point_no"), F.lit(2).alias("label"), *((F.col(c) + F.col("side") * F.col(f"v{c}") * length / 2).alias(c) for c in "xyz"), F.lit(None).cast("double").alias("w"), F.when(F.col("side") < 0, -1).otherwise(n - 1).cast("long").alias("parent"))
+
+
+#: A line of seven numbers, the first two and the last whole ones.
+SWC_LINE = r"^\s*[0-9]+\s+-?[0-9]+(\s+(-?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?|NA|NaN|nan)){4}\s+-?[0-9]+\s*$"
+
+
+def looks_like_swc(spark: SparkSession, path: str, trust_suffix: bool = True) -> DataFrame:
+    """path, is_swc of each file: by its name, or by its first line that isn't blank or a comment, after a first sign that is a digit or #."""
+    read = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("text"))
+    first = F.element_at(F.filter(F.split("text", "\r?\n"), lambda line: ~F.rlike(line, F.lit(r"^\s*(#.*)?$"))), 1)
+    by_text = F.rlike("text", F.lit(r"^[#0-9]")) & F.coalesce(F.rlike(first, F.lit(SWC_LINE)), F.lit(False))
+    named = F.rlike("path", F.lit(r"(?i)\.swc$"))
+    return read.select("path", (named | by_text if trust_suffix else by_text).alias("is_swc"))
