@@ -58,9 +58,9 @@ SWC_LINE = r"^\s*[0-9]+\s+-?[0-9]+(\s+(-?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?|NA|Na
 
 
 def looks_like_swc(spark: SparkSession, path: str, trust_suffix: bool = True) -> DataFrame:
-    """path, is_swc of each file: by its name, or by its first line that isn't blank or a comment, after a first sign that is a digit or #."""
+    """path, is_swc of each file: by its name, or by its first line that isn't blank or a comment, after a first sign that is a digit or #. Files without a byte aren't listed."""
     read = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("text"))
-    first = F.element_at(F.filter(F.split("text", "\r?\n"), lambda line: ~F.rlike(line, F.lit(r"^\s*(#.*)?$"))), 1)
+    first = F.get(F.filter(F.split("text", "\r?\n"), lambda line: ~F.rlike(line, F.lit(r"^\s*(#.*)?$"))), F.lit(0))
     by_text = F.rlike("text", F.lit(r"^[#0-9]")) & F.coalesce(F.rlike(first, F.lit(SWC_LINE)), F.lit(False))
     named = F.rlike("path", F.lit(r"(?i)\.swc$"))
     return read.select("path", (named | by_text if trust_suffix else by_text).alias("is_swc"))

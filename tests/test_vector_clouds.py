@@ -37,7 +37,7 @@ def test_images(spark):
 
 
 def test_swc_by_text_and_name(spark, tmp_path):
-    held = {"a.txt": "# c\n\n1 2 0 0 1e-3 .5 -1\n", "b.txt": "1 2 0 0 0 0.5\n", "c.txt": "x\n1 2 0 0 0 0.5 -1\n", "d.swc": "nothing", "e.txt": "1 2 0 0 0 NA -1", "f.txt": "1.5 2 0 0 0 1 -1\n", "g.txt": ""}
+    held = {"a.txt": "# c\n\n1 2 0 0 1e-3 .5 -1\n", "b.txt": "1 2 0 0 0 0.5\n", "c.txt": "x\n1 2 0 0 0 0.5 -1\n", "d.swc": "nothing", "e.txt": "1 2 0 0 0 NA -1", "f.txt": "1.5 2 0 0 0 1 -1\n", "g.txt": "# only\n"}
     for name, text in held.items():
         (tmp_path / name).write_text(text)
     got = {r.path.rpartition("/")[2]: r.is_swc for r in swc.looks_like_swc(spark, f"file://{tmp_path}").collect()}
