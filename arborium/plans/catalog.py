@@ -325,7 +325,7 @@ def thin_plate(v):
 
 @query("sholl", f"""WITH {EDGE}, {NODE}, {SEG}, {DEPTH}, c AS (SELECT neuron_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM v GROUP BY neuron_id),
  d AS (SELECT v.neuron_id, v.point_no, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS r FROM v JOIN c ON c.neuron_id = v.neuron_id),
- f AS (SELECT s.neuron_id, s.tail, t.depth, k.radius FROM s JOIN t ON t.neuron_id = s.neuron_id AND t.point_no = s.cur JOIN d a ON a.neuron_id = s.neuron_id AND a.point_no = s.cur JOIN d b ON b.neuron_id = s.neuron_id AND b.point_no = s.nxt JOIN (SELECT 10.0::DOUBLE * i AS radius FROM range(1, 11) r(i)) k ON (a.r >= k.radius) <> (b.r >= k.radius)),
+ f AS (SELECT s.neuron_id, s.tail, t.depth, k.radius FROM s JOIN t ON t.neuron_id = s.neuron_id AND t.point_no = s.cur JOIN d a ON a.neuron_id = s.neuron_id AND a.point_no = s.cur JOIN d b ON b.neuron_id = s.neuron_id AND b.point_no = s.nxt JOIN (SELECT 10.0::DOUBLE * i AS radius FROM range(1, 11) r(i)) k ON k.radius > least(a.r, b.r) AND k.radius <= greatest(a.r, b.r)),
  o AS (SELECT *, depth - row_number() OVER (PARTITION BY neuron_id, tail, radius ORDER BY depth) AS island FROM f), m AS (SELECT neuron_id, radius, count(*) AS m FROM o GROUP BY neuron_id, tail, radius, island)
  SELECT neuron_id, radius, CAST(sum(ceil(m / 2.0)) AS BIGINT) AS crossings FROM m GROUP BY ALL""", "caterpillar")
 def sholl(v):
