@@ -293,6 +293,13 @@ def resample(v):
 ALONG = f"{SEGMENTS.replace(SEG, SEG + ', ' + DEPTH)}, r AS (SELECT s.neuron_id, s.tail, s.cur AS point_no, t.dist - h.dist AS pos FROM s JOIN sg ON sg.neuron_id = s.neuron_id AND sg.tail = s.tail JOIN t ON t.neuron_id = s.neuron_id AND t.point_no = s.cur JOIN t h ON h.neuron_id = s.neuron_id AND h.point_no = sg.head UNION ALL SELECT neuron_id, tail, head, 0.0::DOUBLE FROM sg), w AS (SELECT r.*, v.x, v.y, v.z, max(pos) OVER (PARTITION BY r.neuron_id, tail) AS total FROM r JOIN v ON v.neuron_id = r.neuron_id AND v.point_no = r.point_no)"
 
 
+#: Of each segment what stays, and new points every 10 of its length.
+ORACLE_SQL["resample"] = f"""WITH RECURSIVE v AS ({D.tree_sql('caterpillar')}), {ALONG}, m AS (SELECT *, row_number() OVER r AS nth, lead(pos) OVER r AS p2, lead(x) OVER r AS x2, lead(y) OVER r AS y2, lead(z) OVER r AS z2 FROM w WINDOW r AS (PARTITION BY neuron_id, tail ORDER BY pos, point_no)),
+ k AS (SELECT *, unnest(range(CAST(floor(pos / 10) AS BIGINT) + 1, CASE WHEN p2 = total THEN CAST(ceil(p2 / 10) AS BIGINT) ELSE CAST(floor(p2 / 10) AS BIGINT) + 1 END)) AS k FROM m WHERE total > 10 AND p2 IS NOT NULL),
+ n AS (SELECT neuron_id, tail, pos AS at_, x, y, z FROM m WHERE total <= 10 OR nth = 1 OR p2 IS NULL UNION ALL SELECT neuron_id, tail, k * 10.0::DOUBLE, x + (k * 10.0::DOUBLE - pos) / (p2 - pos) * (x2 - x), y + (k * 10.0::DOUBLE - pos) / (p2 - pos) * (y2 - y), z + (k * 10.0::DOUBLE - pos) / (p2 - pos) * (z2 - z) FROM k)
+ SELECT neuron_id, tail, row_number() OVER (PARTITION BY neuron_id, tail ORDER BY at_) AS pos, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM n"""
+
+
 @query("smooth_gauss", f"""WITH {ALONG}, m AS (SELECT a.neuron_id, a.tail, a.point_no, any_value(a.pos) AS pos, any_value(a.total) AS total, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.z) AS z, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800)) AS k,
  sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.x) AS mx, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.y) AS my, sum(exp(-(a.pos - b.pos) * (a.pos - b.pos) / 800) * b.z) AS mz FROM w a JOIN w b ON b.neuron_id = a.neuron_id AND b.tail = a.tail GROUP BY a.neuron_id, a.tail, a.point_no)
  SELECT neuron_id, tail, point_no, round(CASE WHEN pos > 0 AND pos < total THEN mx / k ELSE x END, 4) + 0.0 AS x, round(CASE WHEN pos > 0 AND pos < total THEN my / k ELSE y END, 4) + 0.0 AS y, round(CASE WHEN pos > 0 AND pos < total THEN mz / k ELSE z END, 4) + 0.0 AS z FROM m""", "caterpillar")
