@@ -140,7 +140,7 @@ def tangents(points: DataFrame, key: str, by: str, k: int = 20) -> DataFrame:
     if points.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).head(1):
         raise ValueError(f"a group has fewer than {k} points")
 
-    near = neighbours(points, key, by, k).join(points.select(by, F.col(key).alias("neighbour"), *AXES), [by, "neighbour"])
+    near = neighbours(points, key, by, k).join(points.select(by, F.col(key).alias("neighbour"), *AXES).hint("merge"), [by, "neighbour"])
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     sums = near.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{c}") for c in AXES), *(F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in pairs))
     scatter = sums.select(by, key, *((F.col(a + b) - F.col(f"m{a}") * F.col(f"m{b}")).alias(a + b) for a, b in pairs))

@@ -43,14 +43,16 @@ FINEST = 1e-12
 MOST_STEPS = 80
 
 
-def with_cells(points: DataFrame, offsets: bool = False) -> DataFrame:
-    """points with cells cx, cy, cz of column size, or once for each of the 27 cells around them."""
-    at = {f"c{c}": F.floor(F.col(c) / F.col("size")).cast("long") for c in "xyz"}
-    cells = points.withColumns(at)
-    if not offsets:
-        return cells
+def with_cells(points: DataFrame) -> DataFrame:
+    """points with cells cx, cy, cz of column size."""
+    return points.withColumns({f"c{c}": F.floor(F.col(c) / F.col("size")).cast("long") for c in "xyz"})
+
+
+def spread_cells(cells: DataFrame) -> DataFrame:
+    """cells (cx, cy, cz and other columns) once for each of the 27 cells nx, ny, nz around them."""
     near = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    return cells.withColumn("near", F.explode(near)).select(*cells.columns, *((F.col(f"c{c}") + F.col(f"near.{d}")).alias(f"n{c}") for c, d in zip("xyz", "ijk", strict=True)))
+    others = [c for c in cells.columns if c not in ("cx", "cy", "cz")]
+    return cells.withColumn("near", F.explode(near)).select(*others, *((F.col(f"c{c}") + F.col(f"near.{d}")).alias(f"n{c}") for c, d in zip("xyz", "ijk", strict=True)))
 
 
 def thinned(candidates: DataFrame, by: str, k: int) -> DataFrame:
@@ -93,7 +95,8 @@ def k_nearest(queries: DataFrame, candidates: DataFrame, key: str, by: str, k: i
     Exact, ties by neighbour. A query looks at the 27 cells around it; it is done once its k-th neighbour lies nearer than any
     point beyond these cells can, or they cover the whole group. The others go on with cells twice as wide. Cell
     sizes are a group's own and follow its densest cell, so pairs are made for close points alone. Groups with fewer than
-    k candidates give all of them, queries without a candidate nothing.
+    k candidates give all of them, queries without a candidate nothing. Tables with a row a point are joined by sorting: their files
+    are so small that Spark would take them, and even their 27 cells, for tables to broadcast.
     """
     candidates = written(thinned(written(candidates.select(by, "neighbour", "x", "y", "z"), "candidates"), by, k), "candidates")
     sized = cell_sizes(candidates, by, k)
@@ -102,22 +105,22 @@ def k_nearest(queries: DataFrame, candidates: DataFrame, key: str, by: str, k: i
     for _ in range(MOST_STEPS):
         groups = active.select(by, "size").distinct()
         there = with_cells(candidates.join(groups, by)).select(by, F.col("neighbour"), *(F.col(c).alias(f"{c}_b") for c in "xyz"), *(F.col(f"c{c}").alias(f"n{c}") for c in "xyz"))
-        spread = with_cells(active, True)
-        d2 = sum((F.col(c) - F.col(f"{c}_b")) * (F.col(c) - F.col(f"{c}_b")) for c in "xyz")
-        met = spread.join(there, [by, "nx", "ny", "nz"]).withColumn("d2", d2)
         edge = F.least(*(F.least(F.col(c) - (F.col(f"c{c}") - 1) * F.col("size"), (F.col(f"c{c}") + 2) * F.col("size") - F.col(c)) for c in "xyz"))
         whole = None
         for c in "xyz":
             inside = ((F.col(f"c{c}") - 1) * F.col("size") <= F.col(f"lo_{c}")) & ((F.col(f"c{c}") + 2) * F.col("size") > F.col(f"hi_{c}"))
             whole = inside if whole is None else whole & inside
+        placed = with_cells(active).select(by, key, "x", "y", "z", "cx", "cy", "cz", (edge * edge).alias("safe"), whole.alias("whole"))
+        d2 = sum((F.col(c) - F.col(f"{c}_b")) * (F.col(c) - F.col(f"{c}_b")) for c in "xyz")
+        met = spread_cells(placed).hint("merge").join(there.hint("merge"), [by, "nx", "ny", "nz"]).withColumn("d2", d2)
         order = W.partitionBy(by, key).orderBy("d2", "neighbour")
-        near = met.withColumns({"rank": F.row_number().over(order), "safe": edge * edge, "whole": whole}).filter(F.col("rank") <= k)
+        near = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         near = written(near.select(by, key, "neighbour", F.col("rank").cast("long").alias("rank"), "d2", "safe", "whole"), "near")
         sure = near.groupBy(by, key).agg(((F.count(F.lit(1)) == k) & (F.max("d2") < F.max("safe")) | F.max("whole")).alias("sure")).filter("sure").select(by, key)
         sure = written(sure, "sure")
-        found = near.join(sure, [by, key], "left_semi").select(by, key, "neighbour", "rank", "d2")
+        found = near.join(sure.hint("merge"), [by, key], "left_semi").select(by, key, "neighbour", "rank", "d2")
         done = found if done is None else done.unionByName(found)
-        active = written(active.join(sure, [by, key], "left_anti").withColumn("size", 2 * F.col("size")), "queries")
+        active = written(active.join(sure.hint("merge"), [by, key], "left_anti").withColumn("size", 2 * F.col("size")), "queries")
         if not active.head(1):
             return done
     raise ValueError("coordinates that aren't finite have no neighbours")
