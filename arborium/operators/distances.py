@@ -12,6 +12,8 @@ from .surfaces import AXES, corners, cross, minus, points_inside
 A_CELL = 8
 #: Cells that one triangle may be put into before the grid is made wider.
 MOST_CELLS = 64
+#: Triangles in cells that are broadcast; more are joined by sorting.
+FEW_CELLS = 100_000
 #: Rounds in which cells get twice as wide; then they cover any mesh.
 MOST_ROUNDS = 80
 
@@ -63,38 +65,39 @@ def grid_sizes(triangles: DataFrame, by: str) -> DataFrame:
 def distances(points: DataFrame, faces: DataFrame, vertices: DataFrame, by: str = "mesh_id") -> DataFrame:
     """points (mesh_id, point, x, y, z) with distance: to the nearest triangle of their mesh, positive inside, negative outside.
 
-    Triangles are put into the cells of a grid over their mesh that they reach; a point looks at the 27 cells around it and is
-    done once its nearest triangle is nearer than any beyond these cells can be, or the cells cover the mesh. The others
-    go on with cells twice as wide. A point on the surface has distance 0; points of a mesh without triangles have none.
+    Triangles are put into the cells of a grid over their mesh that they reach and the cells beside these; a point looks at its own
+    cell, so no point is copied, and is done once its nearest triangle is nearer than any that the cell lacks can be, or the cells
+    around it cover the mesh. The others go on with cells twice as wide. A point on the surface has distance 0; points of a mesh without triangles have none.
     """
     triangles = written(corners(faces, vertices).select(by, "face", "a", "b", "c"), "triangles")
     sized = written(grid_sizes(triangles, by), "mesh-grids")
-    active = written(points.select(by, "point", *AXES).distinct().join(sized, by), "mesh-points")
+    once = written(points.select(by, "point", *AXES).distinct(), "mesh-points")
+    active = once.join(sized, by)
     done = None
     for _ in range(MOST_ROUNDS):
         grids = active.select(by, "size").distinct()
         at = lambda c, f: F.floor(f(*(F.col(k)[c] for k in "abc")) / F.col("size")).cast("long")
         held = triangles.join(grids, by)
         for c in AXES:
-            held = held.withColumn(f"n{c}", F.explode(F.sequence(at(c, F.least), at(c, F.greatest))))
+            held = held.withColumn(f"c{c}", F.explode(F.sequence(at(c, F.least) - 1, at(c, F.greatest) + 1)))
+        held = written(held.select(by, "cx", "cy", "cz", "a", "b", "c"), "triangle-cells")
+        held = F.broadcast(held) if held.count() <= FEW_CELLS else held.hint("merge")
         cells = active.withColumns({f"c{c}": F.floor(F.col(c) / F.col("size")).cast("long") for c in AXES})
-        near = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-        spread = cells.withColumn("near", F.explode(near)).withColumns({f"n{c}": F.col(f"c{c}") + F.col(f"near.{d}") for c, d in zip(AXES, "ijk", strict=True)})
-        met = spread.join(held.select(by, "nx", "ny", "nz", "a", "b", "c"), [by, "nx", "ny", "nz"])
         edge = F.least(*(F.least(F.col(c) - (F.col(f"c{c}") - 1) * F.col("size"), (F.col(f"c{c}") + 2) * F.col("size") - F.col(c)) for c in AXES))
         whole = None
         for c in AXES:
             inside = ((F.col(f"c{c}") - 1) * F.col("size") <= F.col(f"lo_{c}")) & ((F.col(f"c{c}") + 2) * F.col("size") > F.col(f"hi_{c}"))
             whole = inside if whole is None else whole & inside
+        placed = cells.select(by, "point", *AXES, "cx", "cy", "cz", (edge * edge).alias("safe"), whole.alias("whole"))
         gap = triangle_distance2(F.struct(*AXES), F.col("a"), F.col("b"), F.col("c"))
-        best = met.withColumns({"d2": gap, "safe": edge * edge, "whole": whole}).groupBy(by, "point").agg(F.min("d2").alias("d2"), F.max("safe").alias("safe"), F.max("whole").alias("whole"))
+        best = placed.join(held, [by, "cx", "cy", "cz"]).withColumn("d2", gap).groupBy(by, "point").agg(F.min("d2").alias("d2"), F.max("safe").alias("safe"), F.max("whole").alias("whole"))
         found = written(best.filter((F.col("d2") <= F.col("safe")) | F.col("whole")).select(by, "point", "d2"), "mesh-near")
         done = found if done is None else done.unionByName(found)
-        active = written(active.join(found.select(by, "point"), [by, "point"], "left_anti").withColumn("size", 2 * F.col("size")), "mesh-points")
+        active = written(active.join(found.select(by, "point").hint("merge"), [by, "point"], "left_anti").withColumn("size", 2 * F.col("size")), "mesh-far")
         if not active.head(1):
             break
     else:
         raise ValueError("coordinates that aren't finite have no distance")
-    signed = points_inside(points, faces, vertices, by).select(by, "point", "inside").distinct().join(done, [by, "point"])
     length = F.sqrt("d2")
-    return points.join(signed.select(by, "point", F.when(F.col("inside"), length).otherwise(-length).alias("distance")), [by, "point"], "left")
+    signed = points_inside(once, faces, vertices, by).select(by, "point", "inside").join(done.hint("merge"), [by, "point"]).select(by, "point", F.when(F.col("inside"), length).otherwise(-length).alias("distance"))
+    return points.join(signed.hint("merge"), [by, "point"], "left")
