@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..ranking import running
 from ..scratch import written
 from .ordering import depth_first, segment_order, tree_starts
-from .topology import KEY, to_root
+from .topology import KEY, sums_from_root
 
 VALUES = ("x", "y", "z", "w")
 
@@ -25,7 +25,7 @@ def resample_tree(vertices: DataFrame, step: float) -> DataFrame:
     if not step > 0:
         raise ValueError("the step is a positive length")
     order = written(segment_order(vertices), "segment-order")
-    far = written(to_root(vertices).select(*KEY, "dist"), "distances")
+    far = written(sums_from_root(vertices), "distances")
     placed = order.join(vertices.select(*KEY, *VALUES, "label"), KEY).join(far, KEY)
     seg = ["neuron_id", "root", "seg_id"]
     run = W.partitionBy(*seg).orderBy("pos")
