@@ -88,6 +88,7 @@ def prune_twigs(vertices: DataFrame, length: float) -> DataFrame:
     Ways up within the length are joined to ways twice as long while there are any, and each leaf then takes the longest
     that still fits, next the next longest: joins follow the logarithm of the number of branch points within the length.
     """
+    vertices = written(vertices, "vertices")
     graph = written(segment_graph(vertices).select("neuron_id", "head", "tail", "length"), "segment-graph")
     known = written(nodes(vertices).select(*KEY, "n_children", "is_branch", "parent"), "nodes")
     leaves = known.filter("n_children = 0 and parent <> -1")
@@ -116,6 +117,7 @@ def simplify(vertices: DataFrame, n: int, invert: bool = False) -> DataFrame:
 
     A vertex belongs to the way of the farthest leaf beyond it, so ways and their own lengths need one pass up.
     """
+    vertices = written(vertices, "vertices")
     far = to_root(vertices).select(*KEY, "dist")
     placed = written(vertices.join(far, KEY), "placed")
     leaf = F.struct(F.col("dist").alias("dist"), (-F.col("point_no")).alias("minus"))

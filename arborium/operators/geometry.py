@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .topology import KEY, edges, segment_graph, segments, to_root
+from .topology import KEY, edges, runs_of
 
 AXES = ("x", "y", "z")
 
@@ -89,14 +89,10 @@ def nearest_crossing(crossings: DataFrame, to: Sequence[float]) -> DataFrame:
 
 def along_segments(vertices: DataFrame) -> DataFrame:
     """A row for each vertex of each segment, heads included: neuron_id, tail, point_no, at (length from the head), x, y, z."""
-    far = to_root(vertices).select(*KEY, "dist")
-    placed = vertices.join(far, KEY).select(*KEY, "dist", *AXES)
-    graph = segment_graph(vertices).select("neuron_id", "tail", F.col("head"))
-    heads = graph.join(placed.withColumnRenamed("point_no", "head"), ["neuron_id", "head"])
-    start = heads.select("neuron_id", "tail", F.col("dist").alias("from"))
-    inner = segments(vertices).select(*KEY, "tail").join(placed, KEY)
-    rows = inner.select("neuron_id", "tail", "point_no", "dist", *AXES).unionByName(heads.select("neuron_id", "tail", F.col("head").alias("point_no"), "dist", *AXES))
-    return rows.join(start, ["neuron_id", "tail"]).select("neuron_id", "tail", "point_no", (F.col("dist") - F.col("from")).alias("at"), *AXES)
+    runs = runs_of(vertices, "dist", "start", *AXES, *(f"p{c}" for c in AXES))
+    heads = runs.filter(F.col("parent") == F.col("head"))
+    rows = runs.select("neuron_id", "tail", "point_no", (F.col("dist") - F.col("start")).alias("at"), *AXES)
+    return rows.unionByName(heads.select("neuron_id", "tail", F.col("head").alias("point_no"), (F.col("start") - F.col("start")).alias("at"), *(F.col(f"p{c}").alias(c) for c in AXES)))
 
 
 def resample(vertices: DataFrame, step: float) -> DataFrame:

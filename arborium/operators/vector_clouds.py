@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from .geometry import AXES, scale, tangents
-from .topology import KEY, strahler, to_root
+from .topology import KEY, narrow, strahler, to_root
 
 VECTOR = ("vx", "vy", "vz")
 FIELDS = (*AXES, "alpha", *VECTOR)
@@ -49,7 +49,8 @@ def differing(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 
 def topology_features(vertices: DataFrame) -> DataFrame:
     """neuron_id, point_no, distance along the tree to the root, and reversed order: 0 for the neuron's highest Strahler order."""
-    order = written(strahler(vertices), "orders")
+    vertices = narrow(vertices, *"xyz")
+    order = strahler(vertices)
     top = order.groupBy("neuron_id").agg(F.max("strahler").alias("top"))
     ranked = order.join(top, "neuron_id").select(*KEY, (F.col("top") - F.col("strahler")).alias("reversed_order"))
     return to_root(vertices).select(*KEY, F.col("dist").alias("distance")).join(ranked, KEY)
