@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrays import apart, facts, without_circles
 from ..ranking import list_sums, numbered, running
 from ..scratch import written
-from .topology import KEY
+from .topology import KEY, narrow
 
 
 def rooted(vertices: DataFrame) -> DataFrame:
@@ -38,6 +39,14 @@ def depth_first(vertices: DataFrame) -> DataFrame:
     pre counts from 0 at the tree's root in depth-first order, size is the number of vertices in the subtree, and closed how many
     vertices up to this one, the root not, end a segment there (branches and ends).
     """
+    small, large = apart(narrow(vertices))
+    wanted = "neuron_id, point_no, above, root, pre long, size long, depth long, closed long, circle boolean"
+    near = without_circles(facts(small, "order", wanted), "depth-first", "a list runs in a circle").withColumnRenamed("above", "parent")
+    return near if large is None else near.unionByName(depth_first_by_tours(large))
+
+
+def depth_first_by_tours(vertices: DataFrame) -> DataFrame:
+    """depth_first() of trees of any size."""
     known = written(rooted(vertices), "rooted")
     kids = written(siblings(known), "siblings")
     below = kids.groupBy("neuron_id", F.col("parent").alias("point_no")).agg(F.max("point_no").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -68,7 +77,7 @@ def segment_order(vertices: DataFrame) -> DataFrame:
 
     A segment is closed by a vertex whose degree isn't 2; the next starts with the parent of the vertex that follows in the order.
     """
-    walked = written(depth_first(vertices), "walked")
+    walked = depth_first(vertices)
     children = walked.filter("parent is not null").groupBy("neuron_id", F.col("parent").alias("point_no")).agg(F.count(F.lit(1)).alias("n"))
     inner = walked.filter("parent is not null").join(children, KEY, "left")
     placed = written(inner.select("neuron_id", "root", *KEY[1:], "parent", "pre", (F.col("closed") - (F.coalesce("n", F.lit(0)) != 1).cast("long") + 1).alias("seg_id")), "segment-members")
@@ -94,7 +103,8 @@ def renumbered(vertices: DataFrame, only_if_needed: bool = False) -> DataFrame:
 
     With only_if_needed the neurons whose parents come before their children already keep their numbers.
     """
-    walked = written(depth_first(vertices), "walked")
+    vertices = written(vertices, "vertices")
+    walked = depth_first(vertices)
     starts = tree_starts(walked.filter("parent is null").select("neuron_id", "root", "size"))
     new = written(walked.join(starts, ["neuron_id", "root"]).select(*KEY, "parent", (F.col("before") + F.col("pre") + 1).alias("new")), "new-numbers")
     if only_if_needed:
