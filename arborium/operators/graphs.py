@@ -2,7 +2,7 @@
 
 Graphs are many and are handled together. A spanning forest comes from rounds in which each component takes its least edge to
 another one (at least halving their number); its Euler tour, a linked list of passages from vertex to vertex,
-gives each edge its direction.
+gives each edge its direction. Graphs of few vertices and edges take these rounds in arrays of a task (arrays.py).
 
 Defined results: edges are unordered, repeated ones count once, and those from a vertex to itself are left out; an edge whose end
 isn't a vertex is reported and left out; names that are repeated are reported and count once; circles are reported, and
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrays import Graphs, apart, component_rows, in_arrays, oriented_rows, problem_rows
 from ..ranking import list_sums, numbered
 from ..scratch import remove, written
 
@@ -21,6 +22,22 @@ from ..scratch import remove, written
 MOST_ROUNDS = 66
 
 
+def rows_apart(vertices: DataFrame, edges: DataFrame, origins: DataFrame | None = None) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame] | None]:
+    """Rows (neuron_id, kind, a, b) of small graphs, and the vertices, edges and origins of the others, None if there are none."""
+    none = F.lit(None).cast("long")
+    kind = lambda k: F.lit(k).cast("tinyint").alias("kind")
+    rows = vertices.select("neuron_id", kind(Graphs.VERTICES), F.col("point_no").cast("long").alias("a"), none.alias("b"))
+    rows = rows.unionByName(edges.select("neuron_id", kind(Graphs.EDGES), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    if origins is not None:
+        rows = rows.unionByName(origins.select("neuron_id", kind(Graphs.ORIGINS), F.col("point_no").cast("long").alias("a"), none.alias("b")))
+    small, large = apart(written(rows, "graphs"))
+    if large is None:
+        return small, None
+    of = lambda k: large.filter(F.col("kind") == k)
+    point = lambda df: df.select("neuron_id", F.col("a").alias("point_no"))
+    return small, (point(of(Graphs.VERTICES)), of(Graphs.EDGES).select("neuron_id", "a", "b"), point(of(Graphs.ORIGINS)))
+
+
 def checked(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (neuron_id, point_no) and (neuron_id, a, b), a < b, without repeats and without edges whose end is missing."""
     points = written(vertices.select("neuron_id", "point_no").distinct(), "graph-points")
@@ -44,6 +61,17 @@ def ends_of(links: DataFrame) -> DataFrame:
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (neuron_id, point_no, component), a component named by one of its vertices, and (neuron_id, a, b) of the forest's edges."""
+    small, large = rows_apart(vertices, edges)
+    found = written(in_arrays(small, component_rows, f"neuron_id {dict(small.dtypes)['neuron_id']}, a long, b long, component long"), "forest")
+    of, forest = found.filter("b is null").select("neuron_id", F.col("a").alias("point_no"), "component"), found.filter("b is not null").select("neuron_id", "a", "b")
+    if large is None:
+        return of, forest
+    more_of, more = forest_by_joins(*large[:2])
+    return of.unionByName(more_of), forest.unionByName(more)
+
+
+def forest_by_joins(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """spanning_forest() of graphs of any size."""
     points, once = checked(vertices, edges)
     of = written(points.withColumn("component", F.col("point_no")), "components")
     open_ = once.select("neuron_id", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
@@ -68,8 +96,16 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
 
 def problems(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """neuron_id, vertices, edges, components, circles, repeated_names, loose_edges of each graph; circles counts edges beyond a forest."""
+    small, large = rows_apart(vertices, edges)
+    counted = "".join(f", {c} long" for c in ("vertices", "edges", "components", "circles", "repeated_names", "loose_edges"))
+    near = in_arrays(small, problem_rows, f"neuron_id {dict(small.dtypes)['neuron_id']}{counted}")
+    return near if large is None else near.unionByName(problems_by_joins(*large[:2]))
+
+
+def problems_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """problems() of graphs of any size."""
     points, once = checked(vertices, edges)
-    of, _ = spanning_forest(points, once)
+    of, _ = forest_by_joins(points, once)
     count = lambda df, name: df.groupBy("neuron_id").agg(F.count(F.lit(1)).alias(name))
     given = vertices.groupBy("neuron_id", "point_no").agg(F.count(F.lit(1)).alias("n")).groupBy("neuron_id").agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("n") > 1).alias("repeated_names"))
     proper = edges.select("neuron_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
@@ -96,7 +132,14 @@ def component_roots(of: DataFrame, forest: DataFrame, origins: DataFrame | None)
 
 def oriented(vertices: DataFrame, edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
     """neuron_id, point_no, parent, root, size, master of each vertex: the graph's spanning forest as trees that run away from their roots."""
-    of, forest = spanning_forest(vertices, edges)
+    small, large = rows_apart(vertices, edges, origins)
+    near = written(in_arrays(small, oriented_rows, f"neuron_id {dict(small.dtypes)['neuron_id']}, point_no long, parent long, root long, size long, master boolean"), "oriented")
+    return near if large is None else near.unionByName(oriented_by_tours(*large[:2], None if origins is None else large[2]))
+
+
+def oriented_by_tours(vertices: DataFrame, edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """oriented() of graphs of any size."""
+    of, forest = forest_by_joins(vertices, edges)
     parts = written(component_roots(of, forest, origins), "component-roots")
     placed = written(of.join(parts, ["neuron_id", "component"]).select("neuron_id", "point_no", "root", "size", "master"), "graph-trees")
     arcs = forest.select("neuron_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(forest.select("neuron_id", F.col("b").alias("u"), F.col("a").alias("v")))
