@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..arrays import MOST_STITCHED, apart, in_arrays, stitched_rows
 from ..scratch import written
 from .editing import stitch_pairs
-from .topology import KEY, nodes, to_root
+from .topology import KEY, narrow, nodes, to_root
 
 AXES = ("x", "y", "z")
 
@@ -88,8 +89,29 @@ def stitch(vertices: DataFrame, longest: float | None = None) -> tuple[DataFrame
     """(vertices, links): each tree's fragments joined by the links of a minimum spanning tree over them, up to a length.
 
     Rounds of nearest links: each group of fragments takes its shortest link to another group (ends and isolated points
-    count; ties go to smaller points), so groups at least halve in number each round.
+    count; ties go to smaller points), so groups at least halve in number each round. The links are those of the only minimum
+    spanning tree by length and points, so small trees take them in that order, in arrays of a task (arrays.py).
     """
+    vertices = written(vertices, "vertices")
+    plain = narrow(vertices, *(F.col(c).cast("double").alias(c) for c in AXES))
+    unknown = F.lit(False)
+    for c in AXES:
+        unknown = unknown | F.col(c).isNull()
+    small, large = apart(plain, MOST_STITCHED, unknown)
+    types = dict(plain.dtypes)
+    solve = lambda table: stitched_rows(table, longest)
+    found = written(in_arrays(small, solve, f"neuron_id {types['neuron_id']}, a {types['point_no']}, b {types['point_no']}, gap double, parent long"), "stitched")
+    links = found.filter("b is not null").select("neuron_id", "a", "b", "gap")
+    parents = found.filter("b is null").select("neuron_id", F.col("a").alias("point_no"), F.col("parent").alias("new"))
+    near = vertices.join(parents, KEY).withColumn("parent", F.col("new").cast(dict(vertices.dtypes)["parent"])).select(*vertices.columns)
+    if large is None:
+        return near, links
+    joined, more = stitch_by_joins(vertices.join(large.select("neuron_id").distinct(), "neuron_id", "left_semi"), longest)
+    return near.unionByName(joined), links.unionByName(more)
+
+
+def stitch_by_joins(vertices: DataFrame, longest: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """stitch() of trees of any size."""
     known = nodes(vertices).filter("degree <= 1 or parent = -1").select(*KEY, *AXES)
     placed = written(known.join(to_root(vertices).select(*KEY, "root"), KEY), "ends")
     group = written(placed.select("neuron_id", "root").distinct().withColumn("group", F.col("root")), "groups")
