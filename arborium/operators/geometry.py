@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..skew import dealt
 from .topology import KEY, edges, runs_of
 
 AXES = ("x", "y", "z")
@@ -100,7 +101,7 @@ def resample(vertices: DataFrame, step: float) -> DataFrame:
 
     A segment no longer than step keeps all its points. pos counts from the head.
     """
-    rows = along_segments(vertices)
+    rows = dealt(along_segments(vertices), "neuron_id", "tail")
     run = W.partitionBy("neuron_id", "tail").orderBy("at", "point_no")
     whole = W.partitionBy("neuron_id", "tail")
     marked = rows.withColumns({"length": F.max("at").over(whole), "next": F.struct(F.lead("at").over(run).alias("at"), *(F.lead(c).over(run).alias(c) for c in AXES)), "first": F.row_number().over(run) == 1})

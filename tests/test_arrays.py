@@ -15,7 +15,7 @@ from arborium.operators import vector_clouds as V
 from arborium.operators import geometry as G
 from arborium.operators import editing as E
 from arborium.plans import orders, tables
-from arborium import scratch
+from arborium import scratch, skew
 
 COLUMNS = "neuron_id long, point_no long, parent long, x double, y double, z double"
 
@@ -96,10 +96,12 @@ def test_tables_that_are_written_do_not_grow_with_the_depth(spark, case, monkeyp
 
 def test_parts_that_number_rows_have_so_many_rows(spark, monkeypatch):
     """A part that sorts the events of users has a bounded number of rows: there are more parts where there are more rows."""
-    monkeypatch.setattr(tables, "TASK_ROWS", 40)
+    monkeypatch.setattr(skew, "TASK_ROWS", 40)
     sf = "/root/testdata/sf0.001"
     assert tables.trees(spark, sf).rdd.getNumPartitions() >= tables.table(spark, sf, "events").count() // 40
     assert tables.clouds(spark, sf).rdd.getNumPartitions() >= tables.table(spark, sf, "lineitem").count() // 40
+    resampled = G.resample(tables.trees(spark, sf, "caterpillar"), 10.0)
+    assert resampled.rdd.getNumPartitions() >= tables.table(spark, sf, "events").count() // 40
 
 
 def test_circles_are_an_error(spark):
